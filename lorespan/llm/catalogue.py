@@ -7,13 +7,27 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from lorespan.llm.encoding import encode_corpus
+from lorespan.llm.leakage import leaked_documents, leaked_passages
+from lorespan.llm.splitting import split_corpus
 from lorespan.session import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p6_ids": lambda spark, folder: encode_corpus(table(spark, folder, "documents")),
+    "p7_found": lambda spark, folder: leaked_documents(table(spark, folder, "documents"), table(spark, folder, "eval_items")),
+    "p7_spans": lambda spark, folder: leaked_passages(table(spark, folder, "documents"), table(spark, folder, "eval_items")),
+    "p8_pieces": lambda spark, folder: split_corpus(table(spark, folder, "documents")),
 }
 
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {
+    "p7_found": r"""
+WITH d AS (SELECT doc_id, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') AS w FROM documents WHERE text IS NOT NULL),
+i AS (SELECT item_id, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') AS w FROM eval_items WHERE text IS NOT NULL),
+p AS (SELECT DISTINCT item_id, least(len(w), 12) AS n, array_to_string(list_slice(w, at, at + least(len(w), 12) - 1), ' ') AS gram
+      FROM i, unnest(generate_series(1, len(w) - least(len(w), 12) + 1)) AS u(at) WHERE len(w) >= 8),
+g AS (SELECT DISTINCT doc_id, n, array_to_string(list_slice(w, at, at + n - 1), ' ') AS gram
+      FROM d, (SELECT DISTINCT n FROM p) AS sizes, unnest(generate_series(1, len(w) - n + 1)) AS u(at) WHERE len(w) >= n)
+SELECT DISTINCT doc_id, item_id FROM g JOIN p USING (n, gram)""",
+}
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
