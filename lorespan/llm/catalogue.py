@@ -6,12 +6,17 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from lorespan.llm.components import duplicate_classes
 from lorespan.llm.encoding import encode_corpus
 from lorespan.llm.leakage import leaked_documents, leaked_passages
+from lorespan.llm.neighbours import found_pairs, nearest_vectors
 from lorespan.llm.splitting import split_corpus
 from lorespan.session import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "p1_found": lambda spark, folder: found_pairs(table(spark, folder, "chunk_vectors")),
+    "p1_neighbours": lambda spark, folder: nearest_vectors(table(spark, folder, "chunk_vectors")),
+    "p5_found": lambda spark, folder: duplicate_classes(table(spark, folder, "duplicate_groups")),
     "p6_ids": lambda spark, folder: encode_corpus(table(spark, folder, "documents")),
     "p7_found": lambda spark, folder: leaked_documents(table(spark, folder, "documents"), table(spark, folder, "eval_items")),
     "p7_spans": lambda spark, folder: leaked_passages(table(spark, folder, "documents"), table(spark, folder, "eval_items")),
@@ -19,6 +24,20 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 SQL: dict[str, str] = {
+    "p1_found": """
+WITH u AS (SELECT chunk_id, arg_max(embedding::DOUBLE[], upserted_at) AS e FROM chunk_vectors
+           WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+             AND len(list_filter(embedding, lambda x: x <> 0)) > 0 GROUP BY chunk_id),
+s AS (SELECT a.chunk_id AS a, b.chunk_id AS b, list_cosine_similarity(a.e, b.e) AS c FROM u a JOIN u b ON a.chunk_id <> b.chunk_id),
+r AS (SELECT *, row_number() OVER (PARTITION BY a ORDER BY c DESC, b) AS place FROM s)
+SELECT DISTINCT least(a, b) AS chunk_a, greatest(a, b) AS chunk_b FROM r WHERE place <= 5 AND c >= 0.9""",
+    "p5_found": r"""
+WITH RECURSIVE e AS (
+  SELECT group_id, lower(regexp_replace(u.s, '^\s+|\s+$', '', 'g')) AS slug FROM duplicate_groups, unnest(slugs) AS u(s)),
+k AS (SELECT DISTINCT group_id, slug FROM e WHERE slug IS NOT NULL AND slug <> ''),
+l AS (SELECT DISTINCT x.slug AS a, y.slug AS b FROM k x JOIN k y USING (group_id) WHERE x.slug <> y.slug),
+r(a, b) AS (SELECT a, b FROM l UNION SELECT r.a, l.b FROM r JOIN l ON r.b = l.a)
+SELECT a AS slug, least(a, min(b)) AS group_slug FROM r GROUP BY a""",
     "p7_found": r"""
 WITH d AS (SELECT doc_id, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') AS w FROM documents WHERE text IS NOT NULL),
 i AS (SELECT item_id, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') AS w FROM eval_items WHERE text IS NOT NULL),
