@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 #: Modules with ``QUERIES`` (name -> function of session and folder) and ``SQL`` (name -> text for DuckDB).
-MODULES = ()
+MODULES = ("lorespan.plans.orphans",)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
