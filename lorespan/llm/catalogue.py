@@ -9,13 +9,21 @@ from pyspark.sql import DataFrame, SparkSession
 from lorespan.llm.components import duplicate_classes
 from lorespan.llm.encoding import encode_corpus
 from lorespan.llm.leakage import leaked_documents, leaked_passages
+from lorespan.llm import near_duplicates
 from lorespan.llm.neighbours import found_pairs, nearest_vectors
 from lorespan.llm.splitting import split_corpus
+from lorespan.llm.survivors import found_survivors, survivors
 from lorespan.session import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p1_found": lambda spark, folder: found_pairs(table(spark, folder, "chunk_vectors")),
     "p1_neighbours": lambda spark, folder: nearest_vectors(table(spark, folder, "chunk_vectors")),
+    "p2_found": lambda spark, folder: near_duplicates.found_pairs(table(spark, folder, "entity_summaries")),
+    "p2_classes": lambda spark, folder: near_duplicates.similar_records(table(spark, folder, "entity_summaries"))[1],
+    "p4_found": lambda spark, folder: found_survivors(table(spark, folder, "merge_requests"), table(spark, folder, "null_markers")),
+    "p4_consistent": lambda spark, folder: survivors(
+        table(spark, folder, "merge_requests"), table(spark, folder, "null_markers"), {"naming": ("title", "description"), "origin": ("tags", "sources"), "body": ("body",)}, [("body", "title"), ("body", "sources")]
+    ),
     "p5_found": lambda spark, folder: duplicate_classes(table(spark, folder, "duplicate_groups")),
     "p6_ids": lambda spark, folder: encode_corpus(table(spark, folder, "documents")),
     "p7_found": lambda spark, folder: leaked_documents(table(spark, folder, "documents"), table(spark, folder, "eval_items")),
@@ -31,6 +39,11 @@ WITH u AS (SELECT chunk_id, arg_max(embedding::DOUBLE[], upserted_at) AS e FROM
 s AS (SELECT a.chunk_id AS a, b.chunk_id AS b, list_cosine_similarity(a.e, b.e) AS c FROM u a JOIN u b ON a.chunk_id <> b.chunk_id),
 r AS (SELECT *, row_number() OVER (PARTITION BY a ORDER BY c DESC, b) AS place FROM s)
 SELECT DISTINCT least(a, b) AS chunk_a, greatest(a, b) AS chunk_b FROM r WHERE place <= 5 AND c >= 0.9""",
+    "p2_found": r"""
+WITH r AS (SELECT DISTINCT summary_id, list_sort(list_distinct(regexp_extract_all(lower(concat_ws(' ', title, description, array_to_string(tags, ' '))), '[\p{L}\p{N}]+'))) AS w FROM entity_summaries),
+e AS (SELECT summary_id, len(w) AS n, unnest(w) AS word FROM r WHERE len(w) >= 10)
+SELECT a.summary_id AS summary_a, b.summary_id AS summary_b FROM e a JOIN e b ON a.word = b.word AND a.summary_id < b.summary_id
+GROUP BY a.summary_id, b.summary_id, a.n, b.n HAVING count(*) >= 0.7 * (a.n + b.n - count(*))""",
     "p5_found": r"""
 WITH RECURSIVE e AS (
   SELECT group_id, lower(regexp_replace(u.s, '^\s+|\s+$', '', 'g')) AS slug FROM duplicate_groups, unnest(slugs) AS u(s)),
