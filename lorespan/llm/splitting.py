@@ -48,61 +48,75 @@ def _natural(text: str) -> tuple[np.ndarray, np.ndarray]:
     return np.array(place, dtype=np.int64), np.array(kind, dtype=np.int8)
 
 
-def _units(bpe, text: str, words: list[str], numbers: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Places of all possible boundaries of a text, tokens up to each, and their kinds."""
-    ends = np.cumsum(np.fromiter(map(len, words), dtype=np.int64, count=len(words)))
-    sizes = bpe.token_counts(numbers)
-    kinds = np.ones(len(words), dtype=np.int8)
-    place, kind = _natural(text)
-    keep = (place > 0) & (place < len(text))
-    place, kind = place[keep], kind[keep]
-    at = np.searchsorted(ends, place)
-    exact = ends[at] == place
-    np.maximum.at(kinds, at[exact], kind[exact])
-    # Boundaries inside words: natural ones (in runs of white space), and those of very long words.
-    inner: dict[int, dict[int, int]] = {}
-    for i, p, k in zip(at[~exact].tolist(), place[~exact].tolist(), kind[~exact].tolist()):
-        own = inner.setdefault(i, {})
+def _inner_cuts(bpe, text: str, words: list[str], numbers: np.ndarray, ends: np.ndarray, sizes: np.ndarray, at: np.ndarray, place: np.ndarray, kind: np.ndarray):
+    """Boundaries inside words: natural ones, in runs of white space, and those of very long words.
+
+    Gives (word, cuts, kinds, tokens of the parts or None); the tokens of an encoding stay apart wherever it is cut, so
+    parts that end at its tokens need no encoding of their own.
+    """
+    natural: dict[int, dict[int, int]] = {}
+    for i, p, k in zip(at.tolist(), place.tolist(), kind.tolist()):
+        own = natural.setdefault(i, {})
         own[p] = max(k, own.get(p, 0))
-    for i in np.flatnonzero(sizes > INSIDE).tolist():
-        own, begin, chars = inner.setdefault(i, {}), int(ends[i]) - len(words[i]), 0
-        raw, taken = b"", 0
-        for token in bpe.tokens(numbers[i : i + 1]).tolist():
-            raw += bpe.bytes_of[token]
-            taken += 1
-            if taken >= INSIDE:
-                try:
-                    chars += len(raw.decode("utf-8"))
-                except UnicodeDecodeError:
-                    continue
-                raw, taken = b"", 0
-                if begin + chars < ends[i]:
-                    own.setdefault(begin + chars, 0)
-    if inner:
-        parts: list[str] = []
-        where: list[tuple[int, list[int], list[int]]] = []
-        for i, own in sorted(inner.items()):
-            if own:
-                begin = int(ends[i]) - len(words[i])
-                cuts = sorted(own)
-                edges = [begin, *cuts, int(ends[i])]
-                parts += [text[a:b] for a, b in zip(edges, edges[1:])]
-                where.append((i, cuts, [own[c] for c in cuts]))
-        counts = bpe.token_counts(bpe.word_numbers(parts)).tolist()
-        new_at, new_end, new_kind, new_size, k = [], [], [], [], 0
-        for i, cuts, own_kinds in where:
+    for i in sorted({*natural, *np.flatnonzero(sizes > INSIDE).tolist()}):
+        own, counts = natural.get(i, {}), None
+        if sizes[i] > INSIDE:
+            begin, chars, raw, taken, parts, cuts = int(ends[i]) - len(words[i]), 0, b"", 0, [], []
+            for token in bpe.tokens(numbers[i : i + 1]).tolist():
+                raw += bpe.bytes_of[token]
+                taken += 1
+                if taken >= INSIDE:
+                    try:
+                        chars += len(raw.decode("utf-8"))
+                    except UnicodeDecodeError:
+                        continue
+                    if begin + chars < ends[i]:
+                        cuts.append(begin + chars)
+                        parts.append(taken)
+                        raw, taken = b"", 0
+            if not own:
+                counts = [*parts, int(sizes[i]) - sum(parts)]
+            own = dict.fromkeys(cuts, 0) | own
+        if own:
+            cuts = sorted(own)
+            yield i, cuts, [own[c] for c in cuts], counts
+
+
+def _boundaries(bpe, texts: list[str], words: list[list[str]], numbers: list[np.ndarray]) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """For each text the places of all possible boundaries, the tokens up to each, and their kinds."""
+    tables, unknown = [], []
+    for text, own, number in zip(texts, words, numbers):
+        ends = np.cumsum(np.fromiter(map(len, own), dtype=np.int64, count=len(own)))
+        sizes = bpe.token_counts(number)
+        kinds = np.ones(len(own), dtype=np.int8)
+        place, kind = _natural(text)
+        keep = (place > 0) & (place < len(text))
+        place, kind = place[keep], kind[keep]
+        at = np.searchsorted(ends, place)
+        exact = ends[at] == place
+        np.maximum.at(kinds, at[exact], kind[exact])
+        inner = list(_inner_cuts(bpe, text, own, number, ends, sizes, at[~exact], place[~exact], kind[~exact]))
+        for i, cuts, _, counts in inner:
+            if counts is None:
+                edges = [int(ends[i]) - len(own[i]), *cuts, int(ends[i])]
+                unknown += [text[a:b] for a, b in zip(edges, edges[1:])]
+        tables.append((ends, sizes, kinds, inner))
+    known = iter(bpe.token_counts(bpe.word_numbers(unknown)).tolist() if unknown else [])
+    done, zero = [], np.zeros(1, dtype=np.int64)
+    for ends, sizes, kinds, inner in tables:
+        new_at, new_end, new_kind, new_size = [], [], [], []
+        for i, cuts, own_kinds, counts in inner:
+            counts = counts or [next(known) for _ in range(len(cuts) + 1)]
             new_at += [i] * len(cuts)
             new_end += cuts
             new_kind += own_kinds
-            new_size += counts[k : k + len(cuts)]
-            k += len(cuts) + 1
-            sizes[i] = counts[k - 1]
-        ends = np.insert(ends, new_at, new_end)
-        kinds = np.insert(kinds, new_at, new_kind)
-        sizes = np.insert(sizes, new_at, new_size)
-    kinds[-1] = len(KINDS) - 1
-    zero = np.zeros(1, dtype=np.int64)
-    return np.concatenate([zero, ends]), np.concatenate([zero, np.cumsum(sizes)]), np.concatenate([zero, kinds])
+            new_size += counts[:-1]
+            sizes[i] = counts[-1]
+        if new_at:
+            ends, kinds, sizes = np.insert(ends, new_at, new_end), np.insert(kinds, new_at, new_kind), np.insert(sizes, new_at, new_size)
+        kinds[-1] = len(KINDS) - 1
+        done.append((np.concatenate([zero, ends]), np.concatenate([zero, np.cumsum(sizes)]), np.concatenate([zero, kinds])))
+    return done
 
 
 def _cuts(tokens: np.ndarray, kinds: np.ndarray, first: np.ndarray, limit: int, overlap: int) -> tuple[np.ndarray, np.ndarray]:
@@ -135,7 +149,7 @@ def _pieces(bpe, texts: list[str], words: list[list[str]], numbers: list[np.ndar
     """(index, pieces) of each text; a piece is (start, end, tokens, tokens repeated, kind of its end)."""
     todo, spare = list(range(len(texts))), SEAM
     while todo:
-        tables = [_units(bpe, texts[i], words[i], numbers[i]) for i in todo]
+        tables = _boundaries(bpe, [texts[i] for i in todo], [words[i] for i in todo], [numbers[i] for i in todo])
         lengths = [len(t[0]) for t in tables]
         first = np.concatenate([[0], np.cumsum(lengths)[:-1]]).astype(np.int64)
         tokens, shift = [], 0
