@@ -1,0 +1,94 @@
+"""Text of office files: documents, slides and sheets as Markdown, from ``binaryFile`` rows."""
+
+from __future__ import annotations
+
+import io
+import re
+import zipfile
+from typing import Iterator
+from xml.etree import ElementTree as X
+
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession
+
+W = "{http://schemas.openxmlformats.org/wordprocessingml/2006/main}"
+A = "{http://schemas.openxmlformats.org/drawingml/2006/main}"
+S = "{http://schemas.openxmlformats.org/spreadsheetml/2006/main}"
+
+
+def _pipe(rows: list[list[str]]) -> str:
+    width = max(map(len, rows), default=0)
+    lines = ["| " + " | ".join(c.replace("|", "\\|") for c in row + [""] * (width - len(row))) + " |" for row in rows]
+    return "\n".join([*lines[:1], "|" + " --- |" * width, *lines[1:]]) if rows else ""
+
+
+def _docx(z: zipfile.ZipFile) -> str:
+    out = []
+    text = lambda node: "".join(t.text or "" for t in node.iter(f"{W}t"))
+    for node in X.fromstring(z.read("word/document.xml")).find(f"{W}body"):
+        if node.tag == f"{W}tbl":
+            out.append(_pipe([[text(c) for c in row.iter(f"{W}tc")] for row in node.iter(f"{W}tr")]))
+        elif node.tag == f"{W}p" and (line := text(node).strip()):
+            style = node.find(f"{W}pPr/{W}pStyle")
+            level = re.search(r"[Hh]eading\s*(\d)", style.get(f"{W}val", "")) if style is not None else None
+            listed = node.find(f"{W}pPr/{W}numPr") is not None
+            out.append("#" * int(level[1]) + " " + line if level else "- " + line if listed else line)
+    return "\n\n".join(out)
+
+
+def _pptx(z: zipfile.ZipFile) -> str:
+    names = sorted((int(m[1]), n) for n in z.namelist() if (m := re.fullmatch(r"ppt/slides/slide(\d+)\.xml", n)))
+    slides = []
+    for number, name in names:
+        lines = [t for p in X.fromstring(z.read(name)).iter(f"{A}p") if (t := "".join(r.text or "" for r in p.iter(f"{A}t")).strip())]
+        slides.append("\n".join([f"## Slide {number}", *(f"**{x}**" if i == 0 else f"- {x}" for i, x in enumerate(lines))]))
+    return "\n\n".join(slides)
+
+
+def _xlsx(z: zipfile.ZipFile) -> str:
+    shared = []
+    if "xl/sharedStrings.xml" in z.namelist():
+        shared = ["".join(t.text or "" for t in s.iter(f"{S}t")) for s in X.fromstring(z.read("xl/sharedStrings.xml")).iter(f"{S}si")]
+    titles = [s.get("name") for s in X.fromstring(z.read("xl/workbook.xml")).iter(f"{S}sheet")]
+    sheets = []
+    for i, title in enumerate(titles, 1):
+        if f"xl/worksheets/sheet{i}.xml" not in z.namelist():
+            continue
+        rows = []
+        for row in X.fromstring(z.read(f"xl/worksheets/sheet{i}.xml")).iter(f"{S}row"):
+            cells = []
+            for c in row.iter(f"{S}c"):
+                value = c.find(f"{S}v")
+                raw = (value.text or "") if value is not None else "".join(t.text or "" for t in c.iter(f"{S}t"))
+                if c.get("t") == "s" and raw:
+                    raw = shared[int(raw)]
+                elif c.get("t") is None and re.fullmatch(r"-?\d+\.\d+", raw):
+                    raw = f"{float(raw):.2f}"
+                cells.append(raw)
+            rows.append(cells)
+        sheets.append(f"## {title}\n\n{_pipe(rows)}")
+    return "\n\n".join(sheets)
+
+
+def extracted(name: str, content: bytes) -> tuple[str | None, str | None]:
+    """(text, problem) of one file, by its extension; a damaged file has a problem and no text."""
+    kind = name.rsplit(".", 1)[-1].lower()
+    try:
+        if kind in ("md", "txt", "csv", "json", "html"):
+            return content.decode("utf-8", "replace"), None
+        reader = {"docx": _docx, "pptx": _pptx, "xlsx": _xlsx}.get(kind)
+        return (reader(zipfile.ZipFile(io.BytesIO(content))), None) if reader else (None, f"no reader for .{kind}")
+    except (zipfile.BadZipFile, X.ParseError, KeyError, AttributeError, IndexError, ValueError) as error:
+        return None, f"{type(error).__name__}: {error}"
+
+
+def read_files(spark: SparkSession, folder: str, pattern: str = "*") -> DataFrame:
+    """``path``, ``text``, ``problem`` of every file below a folder; files are read where they are, whole, in parallel."""
+
+    def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [extracted(p, c) for p, c in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist())]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([t for t, _ in found], pa.string()), pa.array([p for _, p in found], pa.string())], names=["path", "text", "problem"])
+
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", pattern).load(folder)
+    return files.select("path", "content").mapInArrow(extract, "path string, text string, problem string")
