@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 def read_pages(spark: SparkSession, folder: str, pattern: str = "*.md") -> DataFrame:
     """``page_id`` (file stem), ``path``, ``file_name``, ``content`` of every matching file below a folder; hidden files are skipped."""
-    files = spark.read.option("wholetext", True).option("recursiveFileLookup", True).option("pathGlobFilter", pattern).text(folder)
+    files = spark.read.text(folder, wholetext=True, recursiveFileLookup=True, pathGlobFilter=pattern)
     path = F.col("_metadata.file_path")
     name = F.url_decode(F.regexp_replace(path, r"^.*/", ""))
     return files.select(F.regexp_replace(name, r"\.md$", "").alias("page_id"), path.alias("path"), name.alias("file_name"), F.col("value").alias("content"))
