@@ -23,7 +23,7 @@ def test_log_keeps_every_line(spark, tmp_path):
     assert sorted(r.raw for r in bad.collect()) == ["[1]", "broken"]
     jsonl.append_log(spark.createDataFrame([(1, None)], "a int, b string"), str(tmp_path / "out"))
     assert spark.read.text(str(tmp_path / "out")).collect()[0][0] == '{"a":1}'
-    jsonl.export_csv(spark.createDataFrame([('q"x', 1)], "s string, n int"), str(tmp_path / "csv"), ["s", "n"])
+    jsonl.export_csv(spark.createDataFrame([('q"x', 1)], "s string, n int").coalesce(1), str(tmp_path / "csv"), ["s", "n"])
     assert [r[0] for r in spark.read.text(str(tmp_path / "csv")).collect()] == ["s,n", '"q""x",1']
 
 

@@ -46,7 +46,7 @@ def test_gate_logic():
 
     g = jobs.Gate(3, 24)
     g.state = State()
-    first = list(g.handleInputRows(("k",), iter([pd.DataFrame({"at": pd.to_datetime(["2025-01-01", "2025-01-01 01:00"], utc=True)})]), None))
+    first = list(g.handleInputRows(("k",), iter([pd.DataFrame({"at": pd.to_datetime(["2025-01-01 00:00", "2025-01-01 01:00"], utc=True)})]), None))
     assert first == []
     second = pd.concat(list(g.handleInputRows(("k",), iter([pd.DataFrame({"at": pd.to_datetime(["2025-01-01 02:00", "2025-01-02 03:00"], utc=True)})]), None)))
     assert second["reason"].tolist() == ["count", "silence"] and second["waiting"].tolist() == [3, 1]
