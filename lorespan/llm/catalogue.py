@@ -53,11 +53,11 @@ r(a, b) AS (SELECT a, b FROM l UNION SELECT r.a, l.b FROM r JOIN l ON r.b = l.a)
 SELECT a AS slug, least(a, min(b)) AS group_slug FROM r GROUP BY a""",
     "p7_found": r"""
 WITH d AS (SELECT doc_id, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') AS w FROM documents WHERE text IS NOT NULL),
-i AS (SELECT item_id, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') AS w FROM eval_items WHERE text IS NOT NULL),
-p AS (SELECT DISTINCT item_id, least(len(w), 12) AS n, array_to_string(list_slice(w, at, at + least(len(w), 12) - 1), ' ') AS gram
-      FROM i, unnest(generate_series(1, len(w) - least(len(w), 12) + 1)) AS u(at) WHERE len(w) >= 8),
-g AS (SELECT DISTINCT doc_id, n, array_to_string(list_slice(w, at, at + n - 1), ' ') AS gram
-      FROM d, (SELECT DISTINCT n FROM p) AS sizes, unnest(generate_series(1, len(w) - n + 1)) AS u(at) WHERE len(w) >= n)
+items AS (SELECT item_id, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') AS w FROM eval_items WHERE text IS NOT NULL),
+p AS (SELECT DISTINCT item_id, least(len(w), 12) AS n, array_to_string(list_slice(w, i, i + least(len(w), 12) - 1), ' ') AS gram
+      FROM items, unnest(generate_series(1, len(w) - least(len(w), 12) + 1)) AS u(i) WHERE len(w) >= 8),
+g AS (SELECT DISTINCT doc_id, n, array_to_string(list_slice(w, i, i + n - 1), ' ') AS gram
+      FROM d, (SELECT DISTINCT n FROM p) AS sizes, unnest(generate_series(1, len(w) - n + 1)) AS u(i) WHERE len(w) >= n)
 SELECT DISTINCT doc_id, item_id FROM g JOIN p USING (n, gram)""",
 }
 

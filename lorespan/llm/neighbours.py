@@ -75,70 +75,120 @@ def footrule_similarity(perms: np.ndarray, a: np.ndarray, b: np.ndarray, step: i
     return total
 
 
-def _pairs_of_lists(keys: np.ndarray, rows: np.ndarray, side: np.ndarray | None, most: int = 2_000_000) -> Iterator[np.ndarray]:
-    """All pairs of rows posted under the same key, coded as ``first << 32 | second``, some millions at a time.
-
-    With ``side`` only pairs of a row of one side with one of the other."""
-    order = np.argsort(keys, kind="stable")
-    keys, rows = keys[order], rows[order]
-    starts = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])) if len(keys) else np.zeros(0, np.int64)
-    ends = np.append(starts[1:], len(keys))
-    end_of = np.repeat(ends, ends - starts)
-    after = end_of - np.arange(len(keys)) - 1  # each entry pairs with all later ones of its list
+def _pairs_of_lists(rows: np.ndarray, starts: np.ndarray, most: int = 1_000_000) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """All pairs of rows of the same list, about ``most`` at a time; lists follow each other and begin at ``starts``."""
+    ends = np.append(starts[1:], len(rows))
+    after = np.repeat(ends, ends - starts) - np.arange(len(rows)) - 1  # each entry pairs with all later ones of its list
     done, total = 0, np.cumsum(after)
-    while done < len(keys):
+    while done < len(rows):
         stop = max(done + 1, int(np.searchsorted(total, (total[done - 1] if done else 0) + most, side="right")))
         count = after[done:stop]
         first = np.repeat(np.arange(done, stop), count)
         second = first + 1 + np.arange(len(first)) - np.repeat(np.cumsum(count) - count, count)
-        a, b = rows[first], rows[second]
-        if side is not None:
-            differ = side[a] != side[b]
-            a, b = a[differ], b[differ]
-        yield np.minimum(a, b).astype(np.int64) << 32 | np.maximum(a, b)
+        yield rows[first], rows[second]
         done = stop
 
 
-def _search_file(pivot: int, ids: list[str], side: np.ndarray | None, perms: np.ndarray, vectors: np.ndarray, min_score: float) -> Iterator[pa.RecordBatch]:
-    """Similar pairs among the vectors posted in one pivot's file."""
+class _Best:
+    """The ``k`` best others of each row so far, ties by the order of ids."""
+
+    def __init__(self, ids: list[str], k: int, min_score: float) -> None:
+        self.k, self.min_score = k, min_score
+        self.order = np.empty(len(ids), dtype=np.int64)
+        self.order[sorted(range(len(ids)), key=ids.__getitem__)] = np.arange(len(ids))
+        self.row = self.other = np.zeros(0, dtype=np.int64)
+        self.score = np.zeros(0)
+
+    def add(self, a: np.ndarray, b: np.ndarray, score: np.ndarray) -> None:
+        good = score >= self.min_score
+        if not good.any():
+            return
+        a, b, score = a[good], b[good], score[good]
+        row, other, score = np.concatenate([self.row, a, b]), np.concatenate([self.other, b, a]), np.concatenate([self.score, score, score])
+        by = np.lexsort((self.order[other], -score, row))
+        row, other, score = row[by], other[by], score[by]
+        new = np.concatenate([[True], (row[1:] != row[:-1]) | (other[1:] != other[:-1])])
+        row, other, score = row[new], other[new], score[new]
+        first = np.flatnonzero(np.concatenate([[True], row[1:] != row[:-1]]))
+        place = np.arange(len(row)) - np.repeat(first, np.diff(np.append(first, len(row))))
+        keep = place < self.k
+        self.row, self.other, self.score = row[keep], other[keep], score[keep]
+
+
+def _search_file(pivot: int, ids: list[str], side: np.ndarray | None, perms: np.ndarray, vectors: np.ndarray, k: int, min_score: float) -> pa.RecordBatch:
+    """The best similar others of each vector posted in one pivot's file, or in two parts of it (``side``)."""
+    best = _Best(ids, k, min_score)
     shared = perms[:, :SHARED]
     rows, places = np.nonzero(shared != pivot)
     second = shared[rows, places]
-    length = perms.shape[1]
-    least = LEAST_FOOTRULE * length * (length + 1) / 2
-    seen: list[np.ndarray] = []
-    for codes in _pairs_of_lists(second, rows, side):
-        seen.append(codes[footrule_similarity(perms, codes >> 32, codes & 0xFFFFFFFF) >= least])
-    for start in range(0, len(codes := np.unique(np.concatenate(seen))) if seen else 0, 200_000):
-        part = codes[start : start + 200_000]
-        a, b = part >> 32, part & 0xFFFFFFFF
-        score = np.einsum("ij,ij->i", vectors[a], vectors[b])
-        good = score >= min_score
-        if good.any():
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([ids[i] for i in a[good]]), pa.array([ids[i] for i in b[good]]), pa.array(score[good])], names=["a", "b", "score"]
-            )
-
-
-def similar_vector_pairs(vectors: DataFrame, rows: int, sample: pa.Table, size: int = 64, min_score: float = 0.9) -> DataFrame:
-    """``a``, ``b`` (``a < b``), ``score``: pairs of distinct vectors found by the index whose cosine is at least ``min_score``.
+    by = np.argsort(second, kind="stable")
+    rows, second = rows[by], second[by]
+    starts = np.flatnonzero(np.concatenate([[True], second[1:] != second[:-1]])) if len(second) else np.zeros(0, np.int64)
+    lengths = np.diff(np.append(starts, len(rows)))
+    everything = np.arange(len(ids))
+    if perms.shape[1] < SHARED or (lengths * (lengths - 1)).sum() >= len(ids) * (len(ids) - 1):
+        # A dense file, whose lists would name each pair more than once, or too few pivots for lists: compare all, block by block.
+        one, other = (everything, everything) if side is None else (np.flatnonzero(side == side.min()), np.flatnonzero(side != side.min()))
+        for start in range(0, len(one), 256):
+            own = one[start : start + 256]
+            score = vectors[own] @ vectors[other].T
+            a, b = np.nonzero(score >= min_score)
+            keep = own[a] < other[b] if side is None else np.ones(len(a), dtype=bool)
+            best.add(own[a[keep]], other[b[keep]], score[a[keep], b[keep]])
+    else:
+        least = LEAST_FOOTRULE * perms.shape[1] * (perms.shape[1] + 1) / 2
+        for a, b in _pairs_of_lists(rows, starts):
+            if side is not None:
+                differ = side[a] != side[b]
+                a, b = a[differ], b[differ]
+            near = footrule_similarity(perms, a, b) >= least
+            a, b = a[near], b[near]
+            for start in range(0, len(a), 100_000):
+                x, y = a[start : start + 100_000], b[start : start + 100_000]
+                best.add(x, y, np.einsum("ij,ij->i", vectors[x], vectors[y]))
+    names = pa.array(ids, pa.string())
+    return pa.RecordBatch.from_arrays([names.take(pa.array(best.row)), names.take(pa.array(best.other)), pa.array(best.score)], names=["id", "other", "score"])
+
+
+def separate(vectors: np.ndarray, most: int, least: float) -> np.ndarray:
+    """Up to ``most`` of the vectors, in their order, none of which is as near to an earlier one as ``least``.
+
+    So a dense cluster holds few pivots, and its members have like permutations instead of accidental ones.
+    """
+    kept = vectors[:0]
+    for start in range(0, len(vectors), 256):
+        block = vectors[start : start + 256]
+        block = block[(block @ kept.T < least).all(axis=1)] if len(kept) else block
+        near = np.tril(block @ block.T >= least, -1)
+        own: list[int] = []
+        for i in range(len(block)):
+            if not near[i, own].any():
+                own.append(i)
+        kept = np.concatenate([kept, block[own]])[:most]
+        if len(kept) >= most:
+            break
+    return kept
+
+
+def similar_vectors(vectors: DataFrame, rows: int, sample: pa.Table, k: int, size: int = 64, min_score: float = 0.9) -> DataFrame:
+    """``id``, ``other``, ``score``: for each vector at least the ``k`` nearest others that the index finds, of a cosine of at least ``min_score``.
 
     ``vectors`` has a unique ``id`` and a usable ``vector``; ``rows`` is their number or a little more, ``sample`` about
     ``FIT_ROWS`` of them as a table of Arrow.  Method: pivots are drawn from the sample; a vector is the sequence of its ``LENGTH`` nearest pivots.  It is posted in the inverted files of its first
     ``POSTED`` pivots, one shuffle; in a file, vectors that share a second pivot are candidates, ranked by footrule, and
-    those near enough are reranked by exact cosine.  Files expected to be large are split into parts and compared part by
+    those near enough are reranked by exact cosine; a file gives each vector its ``k`` best there.  Files expected to be large are split into parts and compared part by
     part, so no file is one task's burden.
     """
     spark = vectors.sparkSession
-    n = rows
     if not sample.num_rows:
-        return spark.createDataFrame([], "a string, b string, score double")
+        return spark.createDataFrame([], "id string, other string, score double")
     unit = _unit(sample["vector"].combine_chunks().flatten().to_numpy(zero_copy_only=False), size)
     unit = np.unique(unit, axis=0)
-    chosen = np.random.default_rng(7).permutation(len(unit))[: max(2, min(MOST_PIVOTS, math.ceil(2 * math.sqrt(n))))]
-    pivots = np.ascontiguousarray(unit[chosen], dtype=np.float32)
+    unit = unit[np.random.default_rng(7).permutation(len(unit))]
+    most = max(2, min(MOST_PIVOTS, math.ceil(2 * math.sqrt(rows))))
+    pivots = np.ascontiguousarray(separate(unit, most, 0.8), dtype=np.float32)
     posted = min(POSTED, len(pivots))
-    sizes = np.bincount(_permutations(unit, pivots, posted).ravel(), minlength=len(pivots)) * (n / len(unit))
+    sizes = np.bincount(_permutations(unit, pivots, posted).ravel(), minlength=len(pivots)) * (rows / len(unit))
     parts = np.maximum(1, np.ceil(sizes / FILE_ROWS)).astype(int).tolist()
     fitted = spark.sparkContext.broadcast((pivots, parts))
 
@@ -173,7 +223,7 @@ def similar_vector_pairs(vectors: DataFrame, rows: int, sample: pa.Table, size:
             perms = np.frombuffer(b"".join(rows["perm"].to_pylist()), dtype=np.int32).reshape(rows.num_rows, -1)
             unit = _unit(np.frombuffer(b"".join(rows["vector"].to_pylist()), dtype=np.float32), size)
             side = rows["own"].to_numpy() if low != high else None
-            yield from _search_file(pivot, rows["id"].to_pylist(), side, perms, unit, min_score)
+            yield _search_file(pivot, rows["id"].to_pylist(), side, perms, unit, k, min_score)
 
         last = None
         for batch in batches:
@@ -195,8 +245,7 @@ def similar_vector_pairs(vectors: DataFrame, rows: int, sample: pa.Table, size:
         post, "pivot int, low int, high int, own int, id string, perm binary, vector binary"
     )
     files = posts.repartition("pivot", "low", "high").sortWithinPartitions("pivot", "low", "high")
-    found = files.mapInArrow(search, "a string, b string, score double")
-    return found.groupBy(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).agg(F.max("score").alias("score"))
+    return files.mapInArrow(search, "id string, other string, score double").groupBy("id", "other").agg(F.max("score").alias("score"))
 
 
 def nearest_vectors(chunks: DataFrame, k: int = 5, min_score: float = 0.9, size: int = 64, **columns) -> DataFrame:
@@ -218,8 +267,7 @@ def nearest_vectors(chunks: DataFrame, k: int = 5, min_score: float = 0.9, size:
     bound = int(min(1.0, FIT_ROWS / max(count, 1)) * (1 << 40))
     sample = rows.where(F.pmod(F.xxhash64("id", F.lit(2)), F.lit(1 << 40)) < bound).limit(2 * FIT_ROWS).select("vector").toArrow()
     vectors = rows.drop("version").join(classes.drop("members"), ["id", "h1", "h2"], "left_semi").dropDuplicates(["id", "h1", "h2"])
-    pairs = written(similar_vector_pairs(vectors, count, sample, size, min_score), "similar")
-    both = pairs.select(F.col("a").alias("rep"), F.col("b").alias("other"), "score").unionByName(pairs.select(F.col("b").alias("rep"), F.col("a").alias("other"), "score"))
+    both = written(similar_vectors(vectors, count, sample, k, size, min_score).withColumnRenamed("id", "rep"), "similar")
     copied = classes.where("members > 1").withColumnRenamed("id", "rep")
     own = copied.select("rep", F.col("rep").alias("other"), F.lit(1.0).alias("score"))
     similar = both.unionByName(own)
