@@ -173,3 +173,46 @@ def communities(pairs: DataFrame, rounds: int = 10) -> DataFrame:
         if quiet == 2:
             break
     return labels
+
+
+#: Base weights of typed links.
+EDGE_WEIGHTS = {"related_to": 1.2, "uses": 1.4, "depends_on": 1.5, "contradicts": 1.1, "supersedes": 1.3, "supports": 1.35, "derived_from": 0.8, "mentions": 1.0}
+
+#: Front-matter fields that state a typed link; the second is read from its other end.
+EDGE_FIELDS = {"related": "related_to", "uses": "uses", "depends_on": "depends_on", "contradicts": "contradicts", "supports": "supports", "supersedes": "supersedes", "superseded_by": "supersedes"}
+
+
+def key_table(nodes: DataFrame) -> DataFrame:
+    """``project_id``, ``key``, ``id``: the page that each key names; ids come before aliases, then the smallest id."""
+    ids = nodes.select("project_id", F.col("id").alias("key"), F.struct(F.lit(0).alias("rank"), F.col("id").alias("id")).alias("to"))
+    aliases = nodes.select("project_id", "id", F.explode("aliases").alias("alias")).select("project_id", reference_key(F.col("alias")).alias("key"), F.struct(F.lit(1).alias("rank"), F.col("id").alias("id")).alias("to"))
+    return ids.unionByName(aliases.where("key is not null")).groupBy("project_id", "key").agg(F.min("to")["id"].alias("id"))
+
+
+def typed_edges(nodes: DataFrame, stated: DataFrame, confidence: float = 0.55) -> DataFrame:
+    """``source``, ``target``, ``type``, ``explicit``, ``weight``, each once, none to itself.
+
+    Links in texts are mentions, source files that name a page are origins, and ``stated`` (``project_id``, ``source``,
+    ``field``, ``link``) has links of front-matter fields.  A weight is the type's base, 1.15 times it if stated, and 0.75
+    plus half of the ends' confidence.
+    """
+    keys = key_table(nodes)
+    mentions = nodes.select("project_id", F.col("id").alias("source"), F.lit("mentions").alias("type"), F.lit(False).alias("explicit"), F.lit(False).alias("turned"), F.explode("out_links").alias("link"))
+    origins = nodes.select("project_id", F.col("id").alias("source"), F.lit("derived_from").alias("type"), F.lit(True).alias("explicit"), F.lit(False).alias("turned"), F.explode("sources").alias("link")).withColumn("link", F.regexp_replace("link", r"\.[A-Za-z0-9]+$", ""))
+    kinds = F.create_map(*(F.lit(x) for pair in EDGE_FIELDS.items() for x in pair))
+    fields = stated.select("project_id", "source", F.try_element_at(kinds, F.col("field")).alias("type"), F.lit(True).alias("explicit"), (F.col("field") == "superseded_by").alias("turned"), "link").where("type is not null")
+    links = mentions.unionByName(origins).unionByName(fields).withColumn("key", reference_key(F.col("link"))).where("key is not null")
+    found = links.join(keys.withColumnRenamed("id", "target"), ["project_id", "key"]).where("source <> target")
+    ends = found.select(F.when(F.col("turned"), F.col("target")).otherwise(F.col("source")).alias("source"), F.when(F.col("turned"), F.col("source")).otherwise(F.col("target")).alias("target"), "type", "explicit").distinct()
+    base = F.element_at(F.create_map(*(F.lit(x) for pair in EDGE_WEIGHTS.items() for x in pair)), F.col("type"))
+    return ends.withColumn("weight", base * F.when(F.col("explicit"), F.lit(1.15)).otherwise(F.lit(1.0)) * F.lit(0.75 + 0.5 * confidence))
+
+
+def seed_scores(nodes: DataFrame, query: str, words: list[str], confidence: float = 0.55) -> DataFrame:
+    """``id``, ``score`` of pages whose id or title is, or holds, the query or its words; where a traversal starts."""
+    name = query.strip().lower().replace(" ", "-")
+    title = F.replace(F.lower(F.trim("title")), F.lit(" "), F.lit("-"))
+    score = F.when(F.col("id") == name, 4.0).otherwise(0.0) + F.when(title == name, 4.0).when(F.contains(title, F.lit(name)), 2.0).otherwise(0.0)
+    for w in words:
+        score = score + F.when(F.contains("id", F.lit(w)), 1.5).otherwise(0.0) + F.when(F.contains(title, F.lit(w)), 1.5).otherwise(0.0)
+    return nodes.where("title is not null").select("id", (score * F.lit(0.75 + 0.5 * confidence)).alias("score")).where("score > 0")
