@@ -8,10 +8,10 @@ from pyspark.sql import functions as F
 from lorespan.session import written
 
 #: Rounds in which the clusters of one level grow: start times are cut to this many rounds.
-ROUNDS = 3
+ROUNDS = 4
 
 #: Rate of the exponential shifts; a smaller one gives larger clusters, which need more rounds.
-BETA = 0.5
+BETA = 0.3
 
 
 def list_links(lists: DataFrame, list_col: str = "slugs") -> DataFrame:
