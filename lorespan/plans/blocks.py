@@ -13,26 +13,26 @@ from lorespan.session import table
 
 def file_blocks(spark: SparkSession, folder: str) -> DataFrame:
     columns = [("path", pa.string(), "string"), ("content", pa.string(), "string"), ("problem", pa.string(), "string")]
-    return B.per_row(table(spark, folder, "documents"), "doc_id", "text", B.file_blocks, columns)
+    return B.per_row(table(spark, folder, "documents", spread=True), "doc_id", "text", B.file_blocks, columns)
 
 
 def chunk_documents(spark: SparkSession, folder: str) -> DataFrame:
     columns = [("chunk", pa.string(), "string"), ("heading_path", pa.string(), "string"), ("start", pa.int32(), "int"), ("end", pa.int32(), "int"), ("oversized", pa.bool_(), "boolean")]
-    return B.per_row(table(spark, folder, "documents"), "doc_id", "text", B.chunks, columns)
+    return B.per_row(table(spark, folder, "documents", spread=True), "doc_id", "text", B.chunks, columns)
 
 
 def review_blocks(spark: SparkSession, folder: str) -> DataFrame:
     """Reviews by kind and title; kinds that aren't known become ``confirm``."""
     pattern = r"(?m)^---REVIEW: *([a-z\-]+) *\| *([^\n]*?) *---$"
     found = F.arrays_zip(F.regexp_extract_all("text", F.lit(pattern), F.lit(1)).alias("kind"), F.regexp_extract_all("text", F.lit(pattern), F.lit(2)).alias("title"))
-    rows = table(spark, folder, "documents").select("doc_id", F.explode(found).alias("r"))
+    rows = table(spark, folder, "documents", spread=True).select("doc_id", F.explode(found).alias("r"))
     known = F.when(F.col("r.kind").isin("contradiction", "duplicate", "missing-page", "suggestion", "confirm"), F.col("r.kind")).otherwise("confirm")
     return rows.groupBy(known.alias("kind"), F.lower("r.title").alias("title")).agg(F.count("*").alias("times"), F.countDistinct("doc_id").alias("docs"))
 
 
 def audit_lines(spark: SparkSession, folder: str) -> DataFrame:
     """Audit events inside documents, by category: the action up to its dot; lines that begin like one but are no JSON are bad."""
-    lines = table(spark, folder, "documents").select("doc_id", F.explode(F.split("text", r"\n")).alias("raw")).where(F.col("raw").startswith('{"schemaVersion"'))
+    lines = table(spark, folder, "documents", spread=True).select("doc_id", F.explode(F.split("text", r"\n")).alias("raw")).where(F.col("raw").startswith('{"schemaVersion"'))
     parsed = parsed_lines(lines, "raw")
     action = F.try_variant_get("parsed", "$.action", "string")
     return parsed.groupBy(F.when(F.col("bad"), "bad").otherwise(F.substring_index(action, ".", 1)).alias("category")).agg(F.count("*").alias("events"), F.countDistinct("doc_id").alias("docs"))

@@ -48,7 +48,7 @@ def contract_drift(spark: SparkSession, folder: str) -> DataFrame:
     block = F.regexp_extract("text", r"\A---\n((?s:.*?)\n)---(?:\n|\z)", 1)
     value = lambda key: F.trim(F.regexp_extract("block", rf"(?:\A|\n){key}:[ \t]*([^\n]*)", 1))
     has = lambda key: F.col("block").rlike(rf"(?:\A|\n){key}:")
-    rows = table(spark, folder, "documents").select("doc_id", block.alias("block")).where("block <> ''")
+    rows = table(spark, folder, "documents", spread=True).select("doc_id", block.alias("block")).where("block <> ''")
     updated = F.regexp_replace(value("updated"), "[\"']", "")
     day = F.try_to_date(updated, "yyyy-MM-dd")
     findings = F.array(
@@ -68,13 +68,13 @@ def crystallize_score(spark: SparkSession, folder: str) -> DataFrame:
         + F.when(links >= 3, 0.3).when(links == 2, 0.22).when(links == 1, 0.18).otherwise(0.0) + F.when(t.rlike(r"\n#{1,6} "), 0.1).otherwise(0.0)
         + F.when(low.rlike("(conclu|summary|therefore|结论|总结)"), 0.15).otherwise(0.0) + F.when(low.rlike("(decid|decision|should|must|决定)"), 0.15).otherwise(0.0) + F.when(t.rlike(r"\n[-*] "), 0.08).otherwise(0.0)
     )
-    scored = table(spark, folder, "documents").where("length(text) >= 120").select("doc_id", F.round(score, 4).alias("score"))
+    scored = table(spark, folder, "documents", spread=True).where("length(text) >= 120").select("doc_id", F.round(score, 4).alias("score"))
     return scored.where("score >= 0.55")
 
 
 def claim_support(spark: SparkSession, folder: str) -> DataFrame:
     """Claims with the documents that state them in the same words, their confidence by support and age, and a status."""
-    rows = table(spark, folder, "documents").where("text is not null").select("doc_id", "updated_at", F.explode(T.sentences_with_signal(F.col("text"))).alias("claim"))
+    rows = table(spark, folder, "documents", spread=True).where("text is not null").select("doc_id", "updated_at", F.explode(T.sentences_with_signal(F.col("text"))).alias("claim"))
     claims = rows.groupBy(F.lower("claim").alias("claim")).agg(F.countDistinct("doc_id").alias("sources"), F.max("updated_at").alias("confirmed"))
     scored = Q.lifecycle(claims, F.lit("semantic"), F.col("sources"), F.col("sources") - 1, F.col("confirmed"), TODAY)
     return scored.select("claim", "sources", "age_days", F.round("confidence", 6).alias("confidence"), "status")
@@ -105,7 +105,7 @@ def markdown_links(spark: SparkSession, folder: str) -> DataFrame:
     """Texts with ``[[target|label]]`` as Markdown links."""
     labelled = F.regexp_replace("text", r"\[\[([^\]|\n]+)\|([^\]\n]+)\]\]", "[$2]($1.md)")
     plain = F.regexp_replace(labelled, r"\[\[([^\]|\n]+)\]\]", "[$1]($1.md)")
-    return table(spark, folder, "documents").where(F.contains("text", F.lit("[["))).select("doc_id", plain.alias("markdown"))
+    return table(spark, folder, "documents", spread=True).where(F.contains("text", F.lit("[["))).select("doc_id", plain.alias("markdown"))
 
 
 def findings_by_kind(spark: SparkSession, folder: str) -> DataFrame:

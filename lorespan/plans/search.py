@@ -16,7 +16,7 @@ WORDS = QUERY.split()
 
 
 def pages(spark: SparkSession, folder: str) -> DataFrame:
-    return table(spark, folder, "documents").where("text is not null").select("doc_id", "text", "page_path")
+    return table(spark, folder, "documents", spread=True).where("text is not null").select("doc_id", "text", "page_path")
 
 
 def _fields() -> dict:

@@ -13,7 +13,7 @@ PHRASE = "index"
 
 
 def documents(spark: SparkSession, folder: str) -> DataFrame:
-    return table(spark, folder, "documents").where("text is not null")
+    return table(spark, folder, "documents", spread=True).where("text is not null")
 
 
 def token_frequency(spark: SparkSession, folder: str) -> DataFrame:

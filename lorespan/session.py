@@ -9,9 +9,15 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 
-def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
-    """One input table, a Parquet file or folder ``{folder}/{name}.parquet``."""
-    return spark.read.parquet(f"{folder}/{name}.parquet")
+def table(spark: SparkSession, folder: str, name: str, spread: bool = False) -> DataFrame:
+    """One input table, a Parquet file or folder ``{folder}/{name}.parquet``.
+
+    With ``spread``, for work that is heavy per row, a table of fewer files than the session has cores is spread over all of
+    them; a table of many files is read where it is, without a shuffle.
+    """
+    rows = spark.read.parquet(f"{folder}/{name}.parquet")
+    cores = spark.sparkContext.defaultParallelism
+    return rows.repartition(cores) if spread and len(rows.inputFiles()) < cores else rows
 
 
 def shared_folder(spark: SparkSession) -> str:
