@@ -25,10 +25,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         table(spark, folder, "merge_requests"), table(spark, folder, "null_markers"), {"naming": ("title", "description"), "origin": ("tags", "sources"), "body": ("body",)}, [("body", "title"), ("body", "sources")]
     ),
     "p5_found": lambda spark, folder: duplicate_classes(table(spark, folder, "duplicate_groups")),
-    "p6_ids": lambda spark, folder: encode_corpus(table(spark, folder, "documents")),
-    "p7_found": lambda spark, folder: leaked_documents(table(spark, folder, "documents"), table(spark, folder, "eval_items")),
-    "p7_spans": lambda spark, folder: leaked_passages(table(spark, folder, "documents"), table(spark, folder, "eval_items")),
-    "p8_pieces": lambda spark, folder: split_corpus(table(spark, folder, "documents")),
+    "p6_ids": lambda spark, folder: encode_corpus(table(spark, folder, "documents", spread=True)),
+    "p7_found": lambda spark, folder: leaked_documents(table(spark, folder, "documents", spread=True), table(spark, folder, "eval_items")),
+    "p7_spans": lambda spark, folder: leaked_passages(table(spark, folder, "documents", spread=True), table(spark, folder, "eval_items")),
+    "p8_pieces": lambda spark, folder: split_corpus(table(spark, folder, "documents", spread=True)),
 }
 
 SQL: dict[str, str] = {
