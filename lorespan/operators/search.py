@@ -48,7 +48,7 @@ def bm25(pages: DataFrame, fields: dict[str, Column], query: list[str], id_col:
     tf = [F.count_if(F.col("token") == t).alias(f"tf{i}") for i, t in enumerate(query)]
     each = field_rows(pages, fields, id_col).groupBy(id_col, "field").agg(F.count("*").alias("length"), *tf)
     df = [F.count_if(F.col(f"tf{i}") > 0).alias(f"df{i}") for i in range(len(query))]
-    stats = each.groupBy("field").agg(F.sum("length").alias("total"), *df).crossJoin(n)  # one row per field
+    stats = each.groupBy("field").agg(F.sum("length").alias("total"), *df).join(F.broadcast(n))  # one row per field, and one row
     weight = F.element_at(F.create_map(*(F.lit(x) for pair in weights.items() for x in pair)), F.col("field"))
     average = F.col("total") / F.col("n")
 

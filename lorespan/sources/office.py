@@ -5,11 +5,13 @@ from __future__ import annotations
 import io
 import re
 import zipfile
+from html.parser import HTMLParser
 from typing import Iterator
 from xml.etree import ElementTree as X
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 W = "{http://schemas.openxmlformats.org/wordprocessingml/2006/main}"
 A = "{http://schemas.openxmlformats.org/drawingml/2006/main}"
@@ -70,13 +72,77 @@ def _xlsx(z: zipfile.ZipFile) -> str:
     return "\n\n".join(sheets)
 
 
+def _odt(z: zipfile.ZipFile) -> str:
+    out = []
+    for node in X.fromstring(z.read("content.xml")).iter():
+        kind = node.tag.rsplit("}", 1)[-1]
+        if kind in ("h", "p") and (line := "".join(node.itertext()).strip()):
+            level = next((v for k, v in node.attrib.items() if k.endswith("outline-level")), "1")
+            out.append("#" * int(level) + " " + line if kind == "h" else line)
+    return "\n\n".join(out)
+
+
+class _Markdown(HTMLParser):
+    """Headings, paragraphs, lists, links, emphasis and code of an HTML page; navigation, scripts and styles are left out."""
+
+    SKIP = {"script", "style", "nav", "footer", "aside", "head", "form"}
+    BLOCK = {"p", "div", "section", "article", "ul", "ol", "table", "tr", "blockquote", "pre"}
+
+    def __init__(self) -> None:
+        super().__init__(convert_charrefs=True)
+        self.out: list[str] = []
+        self.skipped, self.links = 0, []
+
+    def handle_starttag(self, tag: str, attrs: list) -> None:
+        if tag in self.SKIP:
+            self.skipped += 1
+        elif re.fullmatch("h[1-6]", tag):
+            self.out.append("\n\n" + "#" * int(tag[1]) + " ")
+        elif tag == "li":
+            self.out.append("\n- ")
+        elif tag == "br":
+            self.out.append("\n")
+        elif tag in self.BLOCK:
+            self.out.append("\n\n")
+        elif tag == "a":
+            self.links.append(dict(attrs).get("href") or "")
+            self.out.append("[")
+        else:
+            self.out.append({"b": "**", "strong": "**", "i": "*", "em": "*", "code": "`"}.get(tag, ""))
+
+    def handle_endtag(self, tag: str) -> None:
+        if tag in self.SKIP:
+            self.skipped = max(0, self.skipped - 1)
+        elif tag == "a" and self.links:
+            self.out.append(f"]({self.links.pop()})")
+        elif tag in self.BLOCK or re.fullmatch("h[1-6]", tag):
+            self.out.append("\n\n")
+        else:
+            self.out.append({"b": "**", "strong": "**", "i": "*", "em": "*", "code": "`"}.get(tag, ""))
+
+    def handle_data(self, data: str) -> None:
+        if not self.skipped:
+            self.out.append(re.sub(r"\s+", " ", data))
+
+
+def html_markdown(html: str) -> str:
+    """An HTML page as Markdown."""
+    parser = _Markdown()
+    parser.feed(html)
+    parser.close()
+    lines = "".join(parser.out).split("\n")
+    return re.sub(r"\n{3,}", "\n\n", "\n".join(line.strip() for line in lines)).strip()
+
+
 def extracted(name: str, content: bytes) -> tuple[str | None, str | None]:
     """(text, problem) of one file, by its extension; a damaged file has a problem and no text."""
     kind = name.rsplit(".", 1)[-1].lower()
     try:
-        if kind in ("md", "txt", "csv", "json", "html"):
+        if kind in ("html", "htm"):
+            return html_markdown(content.decode("utf-8", "replace")), None
+        if kind in ("md", "txt", "csv", "json"):
             return content.decode("utf-8", "replace"), None
-        reader = {"docx": _docx, "pptx": _pptx, "xlsx": _xlsx}.get(kind)
+        reader = {"docx": _docx, "pptx": _pptx, "xlsx": _xlsx, "odt": _odt}.get(kind)
         return (reader(zipfile.ZipFile(io.BytesIO(content))), None) if reader else (None, f"no reader for .{kind}")
     except (zipfile.BadZipFile, X.ParseError, KeyError, AttributeError, IndexError, ValueError) as error:
         return None, f"{type(error).__name__}: {error}"
@@ -92,3 +158,23 @@ def read_files(spark: SparkSession, folder: str, pattern: str = "*") -> DataFram
 
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", pattern).load(folder)
     return files.select("path", "content").mapInArrow(extract, "path string, text string, problem string")
+
+
+def read_images(spark: SparkSession, folder: str, least_bytes: int = 2000) -> DataFrame:
+    """``path``, ``name``, ``sha256``, ``content`` of the images inside office files, each content once; small ones are icons and left out."""
+
+    def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = []
+            for path, content in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                if not zipfile.is_zipfile(io.BytesIO(content)):
+                    continue
+                with zipfile.ZipFile(io.BytesIO(content)) as z:
+                    rows += [(path, i.filename, z.read(i)) for i in z.infolist() if re.search(r"(?:media|Pictures)/[^/]+\.(?:png|jpe?g|gif|webp|bmp)$", i.filename, re.I) and i.file_size >= least_bytes]
+            path, name, content = zip(*rows) if rows else ((), (), ())
+            yield pa.RecordBatch.from_arrays([pa.array(path, pa.string()), pa.array(name, pa.string()), pa.array(content, pa.binary())], names=["path", "name", "content"])
+
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.{docx,pptx,xlsx,odt}").load(folder)
+    images = files.select("path", "content").mapInArrow(extract, "path string, name string, content binary")
+    hashed = images.withColumn("sha256", F.sha2("content", 256))
+    return hashed.groupBy("sha256").agg(F.min_by(F.struct("path", "name", "content"), F.struct("path", "name")).alias("first")).select("first.path", "first.name", "sha256", "first.content")

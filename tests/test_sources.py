@@ -53,3 +53,17 @@ def test_office(spark, tmp_path):
         z.writestr("xl/sharedStrings.xml", f"<sst {s}><si><t>h</t></si></sst>")
         z.writestr("xl/worksheets/sheet1.xml", f'<worksheet {s}><sheetData><row><c t="s"><v>0</v></c><c><v>1.5</v></c></row><row><c><v>3</v></c></row></sheetData></worksheet>')
     assert office.extracted("t.xlsx", raw.getvalue()) == ("## One\n\n| h | 1.50 |\n| --- | --- |\n| 3 |  |", None)
+
+
+def test_html_odt_and_images(spark, tmp_path):
+    html = "<html><head><title>t</title></head><body><nav>menu</nav><h1>Top</h1><p>One <b>bold</b> <a href='/x'>link</a>.</p><ul><li>a</li><li>b &amp; c</li></ul><script>no</script></body></html>"
+    assert office.html_markdown(html) == "# Top\n\nOne **bold** [link](/x).\n\n- a\n- b & c"
+    raw = io.BytesIO()
+    with zipfile.ZipFile(raw, "w") as z:
+        z.writestr("content.xml", '<d xmlns:t="urn:t"><t:h t:outline-level="2">Head</t:h><t:p>Text</t:p></d>')
+    assert office.extracted("a.odt", raw.getvalue()) == ("## Head\n\nText", None)
+    for name in ("a", "b"):
+        with zipfile.ZipFile(tmp_path / f"{name}.docx", "w") as z:
+            z.writestr("word/media/i.png", b"x" * 3000)
+            z.writestr("word/media/icon.png", b"x")
+    assert [(r.path[-6:], r.name) for r in office.read_images(spark, str(tmp_path)).collect()] == [("a.docx", "word/media/i.png")]
