@@ -152,3 +152,33 @@ def sentences_with_signal(text: Column) -> Column:
     lines = F.transform(F.split(text, r"\n"), lambda x: F.trim(F.regexp_replace(x, r"^[ \t]*(?:[-*+]|[0-9]+\.)[ \t]+", "")))
     hits = F.filter(lines, lambda x: (F.length(x) >= 32) & F.lower(x).rlike(r"(decid|because|therefore|should|must|lesson|conclu|confirm|结论|决定|因为|应该|必须)"))
     return F.slice(F.array_distinct(hits), 1, 8)
+
+
+#: Frequent words by which languages in Latin script are told apart.
+FUNCTION_WORDS = {
+    "en": "the and of to is that for with".split(),
+    "de": "der die und das ist nicht mit von".split(),
+    "fr": "le les est une des dans pour du".split(),
+    "es": "el los una que por las del con".split(),
+    "pt": "não uma que os com para do em".split(),
+}
+
+
+def language(text: Column) -> Column:
+    """The language of a text: by script, or in Latin script the one whose frequent words occur most (of equal ones the first), else English."""
+    script = main_script(text)
+    words = F.regexp_extract_all(F.lower(text), F.lit(r"(\p{L}+)"), F.lit(1))
+    counts = []
+    for i, (name, own) in enumerate(FUNCTION_WORDS.items()):
+        counts.append(F.struct((-_members(words, own)).alias("less"), F.lit(i).alias("i"), F.lit(name).alias("name")))
+    return F.when(script == "Latin", F.array_min(F.array(*counts))["name"]).otherwise(F.lower(script))
+
+
+def _members(words: Column, own: list[str]) -> Column:
+    return F.size(F.filter(words, lambda w: w.isin(own)))
+
+
+def context_budget(size: Column) -> Column:
+    """How a context of ``size`` characters is shared: 15 % for the answer, 5 % index, 50 % pages, and the most of one page."""
+    pages = F.floor(size * F.lit(0.5))
+    return F.struct(F.floor(size * F.lit(0.15)).alias("answer"), F.floor(size * F.lit(0.05)).alias("index"), pages.alias("pages"), F.least(pages, F.greatest(F.lit(5000), F.floor(size * F.lit(0.3)))).alias("one_page"))

@@ -67,6 +67,11 @@ def script_counts(spark: SparkSession, folder: str) -> DataFrame:
     return rows.groupBy("lang", "script").agg(F.count("*").alias("docs"), *sums)
 
 
+def language_check(spark: SparkSession, folder: str) -> DataFrame:
+    """Documents by given and by detected language."""
+    return documents(spark, folder).groupBy("lang", T.language(F.col("text")).alias("detected")).agg(F.count("*").alias("docs"))
+
+
 def network_links(spark: SparkSession, folder: str) -> DataFrame:
     links = table(spark, folder, "retrieval_nodes").select("row_id", F.explode("out_links").alias("link")).where(F.contains("link", F.lit("://")))
     return links.distinct().groupBy(T.network_kind(F.col("link")).alias("kind")).agg(F.count("*").alias("links"), F.countDistinct("link").alias("addresses"))
@@ -120,7 +125,7 @@ def link_keys(spark: SparkSession, folder: str) -> DataFrame:
     return links.groupBy(reference_key(F.col("link")).alias("target")).agg(F.count("*").alias("times"), F.countDistinct("link").alias("spellings")).where("target is not null")
 
 
-QUERIES = {f.__name__: f for f in (token_frequency, page_titles, snippets, phrase_occurrences, document_links, image_refs, redacted_documents, title_slugs, fnv_ids, content_hash, script_counts, network_links, claim_lines, front_matter_fields, page_quality, slides, table_exports, link_keys)}
+QUERIES = {f.__name__: f for f in (token_frequency, page_titles, snippets, phrase_occurrences, document_links, image_refs, redacted_documents, title_slugs, fnv_ids, content_hash, script_counts, language_check, network_links, claim_lines, front_matter_fields, page_quality, slides, table_exports, link_keys)}
 
 _STOP = "[" + ", ".join(f"'{w}'" for w in T.STOP_WORDS) + "]"
 _BREAK = T.CORPUS_BREAK.replace("''", "''''")
@@ -165,6 +170,9 @@ SELECT slug, coalesce(nullif(ltrim(list_aggregate(list_transform(range(6, -1, -1
     "script_counts": f"""SELECT lang, script, count(*) AS docs, {', '.join(f'sum({k})::BIGINT AS {k}' for k in _CLASSES)} FROM (SELECT lang, {', '.join(f'{k}' for k in _CLASSES)},
   CASE WHEN kana > 0 AND kana + han >= 2 THEN 'Japanese' WHEN most < 2 THEN 'Latin' WHEN han = most THEN 'Chinese' {' '.join(f"WHEN {k} = most THEN '{k.capitalize()}'" for k in _OTHERS)} END AS script
   FROM (SELECT *, greatest({', '.join(_OTHERS)}, han) AS most FROM (SELECT lang, {', '.join(f'{_N(c)} AS {k}' for k, c in (_CLASSES | _OTHERS).items())} FROM {_D}))) GROUP BY ALL""",
+    "language_check": f"""SELECT lang, CASE WHEN script = 'Latin' THEN CASE {' '.join(f"WHEN {n} = greatest({', '.join(T.FUNCTION_WORDS)}) THEN '{n}'" for n in T.FUNCTION_WORDS)} END ELSE lower(script) END AS detected, count(*) AS docs FROM (SELECT lang, {', '.join(f"len(list_filter(w, lambda x: x IN ({', '.join(repr(o) for o in own)}))) AS {n}" for n, own in T.FUNCTION_WORDS.items())},
+  CASE WHEN kana > 0 AND kana + han >= 2 THEN 'Japanese' WHEN most < 2 THEN 'Latin' WHEN han = most THEN 'Chinese' {' '.join(f"WHEN {k} = most THEN '{k.capitalize()}'" for k in _OTHERS)} END AS script
+  FROM (SELECT *, greatest({', '.join(_OTHERS)}, han) AS most FROM (SELECT lang, regexp_extract_all(lower(text), '\\p{{L}}+') AS w, {', '.join(f'{_N(c)} AS {k}' for k, c in (_CLASSES | _OTHERS).items())} FROM {_D}))) GROUP BY ALL""",
     "network_links": r"""SELECT kind, count(*) AS links, count(DISTINCT link) AS addresses FROM (SELECT link, CASE WHEN host = '' THEN 'invalid' WHEN regexp_matches(host, '^(localhost|127\.[0-9.]+|::1)$') THEN 'loopback'
   WHEN regexp_matches(host, '^(10\.|192\.168\.|172\.(1[6-9]|2[0-9]|3[01])\.|169\.254\.)|\.local$|^[^.]+$') THEN 'lan' ELSE 'public' END AS kind
   FROM (SELECT *, lower(regexp_extract(link, '^[A-Za-z][A-Za-z0-9+.\-]*://(?:[^/@]*@)?([^/:?#]+)', 1)) AS host FROM (SELECT DISTINCT row_id, link FROM (SELECT row_id, unnest(out_links) AS link FROM retrieval_nodes) WHERE link LIKE '%://%'))) GROUP BY kind""",
