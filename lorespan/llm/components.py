@@ -33,14 +33,16 @@ def _grow(edges: DataFrame, level: int, rounds: int, beta: float) -> DataFrame:
     vertex, so a lost task that runs again draws the same ones.
     """
     both = edges.select(F.col("a").alias("v"), F.col("b").alias("to")).unionByName(edges.select(F.col("b").alias("v"), F.col("a").alias("to")))
+    starts = both.select("v").distinct()
+    # Every vertex also sends to itself, at no cost, so that a round is one join and one reduction.
+    ways = both.withColumn("cost", F.lit(1)).unionByName(starts.select("v", F.col("v").alias("to"), F.lit(0).alias("cost")))
     uniform = (F.shiftrightunsigned(F.xxhash64("v", F.lit(level)), 11).cast("double") + 1) / F.lit(float(1 << 53))
     start = F.greatest(F.lit(0), F.lit(rounds) - F.floor(-F.log(uniform) / beta)).cast("int")
     # The order of arrivals: the time, then a hash of the center instead of the shift's fraction, then its name.
-    arrival = F.struct(start.alias("at"), F.xxhash64("v", F.lit(-level - 1)).alias("turn"), F.col("v").alias("center"))
-    state = both.select("v").distinct().select("v", arrival.alias("first"))
+    state = starts.select("v", F.struct(start.alias("at"), F.xxhash64("v", F.lit(-level - 1)).alias("turn"), F.col("v").alias("center")).alias("first"))
     for _ in range(rounds):
-        sent = both.join(state, "v").select(F.col("to").alias("v"), F.struct((F.col("first.at") + 1).alias("at"), F.col("first.turn").alias("turn"), F.col("first.center").alias("center")).alias("first"))
-        state = state.unionByName(sent).groupBy("v").agg(F.min("first").alias("first"))
+        arrival = F.struct((F.col("first.at") + F.col("cost")).alias("at"), F.col("first.turn").alias("turn"), F.col("first.center").alias("center"))
+        state = ways.join(state, "v").select(F.col("to").alias("v"), arrival.alias("first")).groupBy("v").agg(F.min("first").alias("first"))
     return state.select("v", F.col("first.center").alias("center"))
 
 
@@ -67,7 +69,8 @@ def connected_groups(links: DataFrame, a: str = "a", b: str = "b", rounds: int =
             of = grown.select(F.col("v").alias("member"), "center")
         else:
             # Super-vertices without links to others are complete and stay as they are.
-            of = of.join(grown.withColumnRenamed("center", "next"), of["center"] == grown["v"], "left").select("member", F.coalesce("next", "center").alias("center"))
+            next_ = grown.select(F.col("v").alias("center"), F.col("center").alias("next"))
+            of = written(of.join(next_, "center", "left").select("member", F.coalesce("next", "center").alias("center")), "groups")
         left = grown.select(F.col("v").alias("a"), F.col("center").alias("ca"))
         right = grown.select(F.col("v").alias("b"), F.col("center").alias("cb"))
         between = edges.join(left, "a").join(right, "b").where("ca <> cb")
@@ -75,7 +78,6 @@ def connected_groups(links: DataFrame, a: str = "a", b: str = "b", rounds: int =
         level += 1
     if of is None:
         return ends.select(F.col("a").alias("member"), F.col("b").alias("group_name"))
-    of = written(of, "groups")
     return of.join(of.groupBy("center").agg(F.min("member").alias("group_name")), "center").select("member", "group_name")
 
 
