@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from lorespan.llm.components import duplicate_classes
 from lorespan.llm.encoding import encode_corpus
@@ -17,7 +18,7 @@ from lorespan.session import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p1_found": lambda spark, folder: found_pairs(table(spark, folder, "chunk_vectors")),
-    "p1_neighbours": lambda spark, folder: nearest_vectors(table(spark, folder, "chunk_vectors")),
+    "p1_neighbours": lambda spark, folder: nearest_vectors(table(spark, folder, "chunk_vectors")).withColumn("score", F.round("score", 6)),
     "p2_found": lambda spark, folder: near_duplicates.found_pairs(table(spark, folder, "entity_summaries")),
     "p2_classes": lambda spark, folder: near_duplicates.similar_records(table(spark, folder, "entity_summaries"))[1],
     "p4_found": lambda spark, folder: found_survivors(table(spark, folder, "merge_requests"), table(spark, folder, "null_markers")),
@@ -31,19 +32,29 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p8_pieces": lambda spark, folder: split_corpus(table(spark, folder, "documents", spread=True)),
 }
 
-SQL: dict[str, str] = {
-    "p1_found": """
+_NEAREST = """
 WITH u AS (SELECT chunk_id, arg_max(embedding::DOUBLE[], upserted_at) AS e FROM chunk_vectors
            WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
              AND len(list_filter(embedding, lambda x: x <> 0)) > 0 GROUP BY chunk_id),
 s AS (SELECT a.chunk_id AS a, b.chunk_id AS b, list_cosine_similarity(a.e, b.e) AS c FROM u a JOIN u b ON a.chunk_id <> b.chunk_id),
-r AS (SELECT *, row_number() OVER (PARTITION BY a ORDER BY c DESC, b) AS place FROM s)
+r AS (SELECT *, row_number() OVER (PARTITION BY a ORDER BY c DESC, b) AS place FROM s)"""
+
+_WORDS = r"""
+WITH r AS (SELECT DISTINCT summary_id, list_sort(list_distinct(regexp_extract_all(lower(concat_ws(' ', title, description, array_to_string(tags, ' '))), '[\p{L}\p{N}]+'))) AS w FROM entity_summaries),"""
+
+SQL: dict[str, str] = {
+    "p1_found": f"""{_NEAREST}
 SELECT DISTINCT least(a, b) AS chunk_a, greatest(a, b) AS chunk_b FROM r WHERE place <= 5 AND c >= 0.9""",
-    "p2_found": r"""
-WITH r AS (SELECT DISTINCT summary_id, list_sort(list_distinct(regexp_extract_all(lower(concat_ws(' ', title, description, array_to_string(tags, ' '))), '[\p{L}\p{N}]+'))) AS w FROM entity_summaries),
+    "p1_neighbours": f"""{_NEAREST}
+SELECT a AS id, b AS neighbour, round(c, 6) AS score, place::INT AS place FROM r WHERE place <= 5 AND c >= 0.9""",
+    "p2_found": f"""{_WORDS}
 e AS (SELECT summary_id, len(w) AS n, unnest(w) AS word FROM r WHERE len(w) >= 10)
 SELECT a.summary_id AS summary_a, b.summary_id AS summary_b FROM e a JOIN e b ON a.word = b.word AND a.summary_id < b.summary_id
 GROUP BY a.summary_id, b.summary_id, a.n, b.n HAVING count(*) >= 0.7 * (a.n + b.n - count(*))""",
+    "p2_classes": f"""{_WORDS}
+c AS (SELECT min(summary_id) AS id, w FROM r WHERE len(w) >= 10 GROUP BY w), e AS (SELECT id, len(w) AS n, unnest(w) AS word FROM c)
+SELECT a.id AS a, b.id AS b, count(*) / (a.n + b.n - count(*))::DOUBLE AS similarity FROM e a JOIN e b ON a.word = b.word AND a.id < b.id
+GROUP BY a.id, b.id, a.n, b.n HAVING count(*) >= 0.7 * (a.n + b.n - count(*))""",
     "p5_found": r"""
 WITH RECURSIVE e AS (
   SELECT group_id, lower(regexp_replace(u.s, '^\s+|\s+$', '', 'g')) AS slug FROM duplicate_groups, unnest(slugs) AS u(s)),
