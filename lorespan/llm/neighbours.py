@@ -174,10 +174,13 @@ def similar_vectors(vectors: DataFrame, rows: int, sample: pa.Table, k: int, siz
     """``id``, ``other``, ``score``: for each vector at least the ``k`` nearest others that the index finds, of a cosine of at least ``min_score``.
 
     ``vectors`` has a unique ``id`` and a usable ``vector``; ``rows`` is their number or a little more, ``sample`` about
-    ``FIT_ROWS`` of them as a table of Arrow.  Method: pivots are drawn from the sample; a vector is the sequence of its ``LENGTH`` nearest pivots.  It is posted in the inverted files of its first
-    ``POSTED`` pivots, one shuffle; in a file, vectors that share a second pivot are candidates, ranked by footrule, and
-    those near enough are reranked by exact cosine; a file gives each vector its ``k`` best there.  Files expected to be large are split into parts and compared part by
-    part, so no file is one task's burden.
+    ``FIT_ROWS`` of them as a table of Arrow.
+
+    Method: pivots are drawn from the sample, none as near to another as 0.8; a vector is the sequence of its ``LENGTH``
+    nearest pivots.  It is posted in the inverted files of its first ``POSTED`` pivots, one shuffle.  In a file, vectors that
+    share a second pivot are candidates, ranked by footrule, and those near enough are reranked by exact cosine; a file
+    gives each vector its ``k`` best there.  In a dense file, whose lists would name each pair more than once, all are
+    compared.  Files expected to be large are split into parts and compared part by part, so no file is one task's burden.
     """
     spark = vectors.sparkSession
     if not sample.num_rows:
@@ -263,9 +266,9 @@ def nearest_vectors(chunks: DataFrame, k: int = 5, min_score: float = 0.9, size:
     latest = written(rows.groupBy("id").agg(F.max(F.struct("version", "h1", "h2")).alias("last")).select("id", "last.h1", "last.h2"), "latest")
     classes = latest.groupBy("h1", "h2").agg(F.min("id").alias("id"), F.count("*").alias("members"))
     count = latest.count()
-    # The sample: ids whose hash is below a bound, so about FIT_ROWS rows wherever they are.
+    # The sample: versions whose hash is below a bound, so about FIT_ROWS rows wherever they are.
     bound = int(min(1.0, FIT_ROWS / max(count, 1)) * (1 << 40))
-    sample = rows.where(F.pmod(F.xxhash64("id", F.lit(2)), F.lit(1 << 40)) < bound).limit(2 * FIT_ROWS).select("vector").toArrow()
+    sample = rows.where(F.pmod(F.xxhash64("id", "h1", "h2", F.lit(2)), F.lit(1 << 40)) < bound).limit(2 * FIT_ROWS).select("vector").toArrow()
     vectors = rows.drop("version").join(classes.drop("members"), ["id", "h1", "h2"], "left_semi").dropDuplicates(["id", "h1", "h2"])
     both = written(similar_vectors(vectors, count, sample, k, size, min_score).withColumnRenamed("id", "rep"), "similar")
     copied = classes.where("members > 1").withColumnRenamed("id", "rep")
