@@ -20,7 +20,7 @@ FIT_ROWS = 20_000
 MOST_PIVOTS = 4096
 
 #: Pivots in a vector's permutation; leading ones in whose files it is posted; leading ones of which a pair must share a second.
-LENGTH, POSTED, SHARED = 10, 3, 7
+LENGTH, POSTED, SHARED = 10, 4, 7
 
 #: Least footrule similarity of a candidate, as a share of that of equal permutations.
 LEAST_FOOTRULE = 0.3
@@ -213,7 +213,7 @@ def similar_vectors(vectors: DataFrame, rows: int, sample: pa.Table, k: int, siz
                         files.append((pivot, min(own, other), max(own, other), own))
             pivot, low, high, own = (pa.array(x, pa.int32()) for x in zip(*files))
             take = pa.array(rows, pa.int32())
-            perm = pa.FixedSizeBinaryArray.from_buffers(pa.binary(perms.shape[1] * 4), len(perms), [None, pa.py_buffer(np.ascontiguousarray(perms))]).cast(pa.binary())
+            perm = pa.FixedSizeBinaryArray.from_buffers(pa.binary(perms.shape[1] * 2), len(perms), [None, pa.py_buffer(np.ascontiguousarray(perms, dtype=np.int16))]).cast(pa.binary())
             plain = np.ascontiguousarray(batch.column(1).flatten().to_numpy(zero_copy_only=False), dtype=np.float32)
             vector = pa.FixedSizeBinaryArray.from_buffers(pa.binary(size * 4), len(perms), [None, pa.py_buffer(plain)]).cast(pa.binary())
             yield pa.RecordBatch.from_arrays([pivot, low, high, own, batch.column(0).take(take), perm.take(take), vector.take(take)], names=["pivot", "low", "high", "own", "id", "perm", "vector"])
@@ -223,7 +223,7 @@ def similar_vectors(vectors: DataFrame, rows: int, sample: pa.Table, k: int, siz
 
         def flush(rows: pa.Table) -> Iterator[pa.RecordBatch]:
             pivot, low, high = (rows.column(i)[0].as_py() for i in range(3))
-            perms = np.frombuffer(b"".join(rows["perm"].to_pylist()), dtype=np.int32).reshape(rows.num_rows, -1)
+            perms = np.frombuffer(b"".join(rows["perm"].to_pylist()), dtype=np.int16).reshape(rows.num_rows, -1)
             unit = _unit(np.frombuffer(b"".join(rows["vector"].to_pylist()), dtype=np.float32), size)
             side = rows["own"].to_numpy() if low != high else None
             yield _search_file(pivot, rows["id"].to_pylist(), side, perms, unit, k, min_score)
