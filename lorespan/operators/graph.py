@@ -19,6 +19,9 @@ AFFINITY = {
     "synthesis": {"concept": 1.2, "entity": 1.0, "source": 1.0, "query": 1.0, "synthesis": 0.8},
 }
 
+#: What more pages than this have (a neighbour, a source file) isn't listed pair by pair.
+HUB = 64
+
 #: Decay and floor of a traversal by hops.
 DECAY, FLOOR = 0.55, 0.05
 
@@ -104,11 +107,51 @@ def relevance(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return both.select("a", "b", F.col("directions").alias("direct"), shared.alias("shared_sources"), aa.alias("adamic_adar"), score.alias("relevance"))
 
 
-def related(scored: DataFrame, k: int) -> DataFrame:
-    """``id``, ``other``, ``relevance``, ``place``: the ``k`` most relevant linked pages of every page."""
+def related(nodes: DataFrame, edges: DataFrame, k: int, hub: int = HUB) -> DataFrame:
+    """``id``, ``other``, ``relevance``, ``place``: the ``k`` most relevant other pages of its project for every page, linked or not.
+
+    Two pages score by the links between them, by what both have (a neighbour, a source file) and by their types.  Pairs with
+    a link, or that both have something which at most ``hub`` pages have, are listed and scored in full.  All other pairs score
+    by their hubs and types alone, so pages of the same hubs and type are one group: each group gets its ``k + 1`` best pages
+    from the first ``k + 1`` pages, by id, of each group, which holds the ``k`` best of any member besides itself.  A pair
+    of the first kind has at least this score, so the greater of the two is right.
+    """
+    pairs = written(undirected_edges(edges).select("a", "b", "directions"), "pairs")
+    project = F.coalesce("project_id", F.lit("")).alias("project")
+    kind = F.when(F.col("type").isin(*AFFINITY), F.col("type")).otherwise(F.lit("")).alias("type")
+    own = written(nodes.select("id", project, kind, "sources"), "nodes")
+    things = _both_ways(pairs).select("id", F.struct(F.lit("page").alias("kind"), F.lit("").alias("project"), F.col("other").alias("name")).alias("thing"))
+    named = own.select("id", "project", F.explode(F.array_distinct("sources")).alias("name"))
+    things = things.unionByName(named.select("id", F.struct(F.lit("source").alias("kind"), "project", "name").alias("thing")))
+    held = things.groupBy("thing").agg(F.count("*").alias("n")).where("n > 1")
+    weight = F.when(F.col("thing.kind") == "source", F.lit(OVERLAP)).otherwise(F.lit(COMMON) / F.ln(F.greatest("n", F.lit(2)).cast("double")))
+    things = written(things.join(held.select("thing", "n", weight.alias("weight")), "thing"), "things")
+
+    few = things.where(F.col("n") <= hub)
+    both = few.select("thing", "weight", F.col("id").alias("a")).join(few.select("thing", F.col("id").alias("b")), "thing").where("a < b").select("a", "b", "weight")
+    listed = both.unionByName(pairs.select("a", "b", (F.lit(DIRECT) * F.col("directions")).alias("weight"))).groupBy("a", "b").agg(F.sum("weight").alias("score"))
+    hubs = things.where(F.col("n") > hub).groupBy("id").agg(F.array_sort(F.collect_set(F.struct("thing", "weight"))).alias("hubs"))
+    pages = own.drop("sources").join(hubs, "id", "left").withColumn("hubs", F.coalesce("hubs", F.expr("cast(array() as array<struct<thing:struct<kind:string,project:string,name:string>,weight:double>>)")))
+    pages = written(pages, "pages")
+    ends = pages.select("id", "type", "hubs")
+    of_hubs = F.aggregate(F.array_intersect("ha", "hb"), F.lit(0.0), lambda sum_, h: sum_ + h["weight"])
+    scored = listed.join(ends.toDF("a", "ta", "ha"), "a").join(ends.toDF("b", "tb", "hb"), "b").select("a", "b", (F.col("score") + of_hubs + affinity(F.col("ta"), F.col("tb"))).alias("relevance"))
     ways = scored.select(F.col("a").alias("id"), F.col("b").alias("other"), "relevance").unionByName(scored.select(F.col("b").alias("id"), F.col("a").alias("other"), "relevance"))
-    place = F.row_number().over(W.partitionBy("id").orderBy(F.desc(F.round("relevance", 6)), "other"))
-    return ways.withColumn("place", place).where(F.col("place") <= k)
+
+    group = ["project", "type", "hubs"]
+    groups = pages.groupBy(*group).agg(F.min("id").alias("group"))
+    first = pages.withColumn("place", F.row_number().over(W.partitionBy(*group).orderBy("id"))).where(F.col("place") <= k + 1).join(groups, group).select("group", "project", "type", F.col("id").alias("other"))
+    floor = first.withColumn("place", F.row_number().over(W.partitionBy("project", "type").orderBy("other"))).where(F.col("place") <= k + 1).select("project", F.col("type").alias("to"), "other")
+    one = groups.select("group", "type", F.explode("hubs").alias("h")).select("group", "type", "h.thing", "h.weight")
+    near = one.join(one.select("thing", F.col("group").alias("with"), F.col("type").alias("to")), "thing").groupBy("group", "with", "type", "to").agg(F.sum("weight").alias("score"))
+    near = near.join(first.select(F.col("group").alias("with"), "other"), "with").select("group", "other", (F.col("score") + affinity(F.col("type"), F.col("to"))).alias("relevance"))
+    near = near.unionByName(groups.join(floor, "project").select("group", "other", affinity(F.col("type"), F.col("to")).alias("relevance")))
+    order = [F.desc(F.round("relevance", 6)), "other"]
+    near = near.groupBy("group", "other").agg(F.max("relevance").alias("relevance")).withColumn("place", F.row_number().over(W.partitionBy("group").orderBy(*order))).where(F.col("place") <= k + 1)
+    far = pages.join(groups, group).select("id", "group").join(near, "group").where("id <> other").select("id", "other", "relevance")
+
+    all_ = ways.unionByName(far).groupBy("id", "other").agg(F.max("relevance").alias("relevance"))
+    return all_.withColumn("place", F.row_number().over(W.partitionBy("id").orderBy(*order))).where(F.col("place") <= k)
 
 
 def traverse(seeds: DataFrame, pairs: DataFrame, hops: int = 2, decay: float = DECAY, floor: float = FLOOR) -> DataFrame:

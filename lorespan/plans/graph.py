@@ -45,7 +45,8 @@ def relevance_pairs(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def related_topk(spark: SparkSession, folder: str) -> DataFrame:
-    return G.related(relevance_pairs(spark, folder), 3)
+    n = nodes(spark, folder)
+    return G.related(n, G.directed_edges(G.resolved_links(n)), 3).withColumn("relevance", F.round("relevance", 6))
 
 
 def two_hop_decay(spark: SparkSession, folder: str) -> DataFrame:
