@@ -120,18 +120,21 @@ def usable_fields(pages: DataFrame, markers: DataFrame, marker_col: str = "marke
 
 
 def best_bundles(candidates: list[tuple[str, str, tuple, dict]], dependencies: list[tuple[str, str]], seen: dict[tuple[str, str], set]) -> dict[str, str]:
-    """The slug for each bundle: the consistent choice of greatest trust, by branch and bound.
+    """The slug for each bundle that is filled: the consistent choice of most bundles, then of greatest trust, by branch and bound.
 
     ``candidates`` are (bundle, slug, trust, values by field), ``seen`` has for each dependency, a pair of fields, the pairs of
     values that stand together on some page.  A choice is consistent if for each dependency whose fields both survive the
     surviving values stand together.  Trust of a choice is the sum over its bundles, entry by entry, compared from the
-    first entry on; of equal ones the one of the smallest slugs, in the bundles' order.
+    first entry on; of equal ones the one of the smallest slugs, in the bundles' order.  A bundle may stay unfilled, which
+    no dependency touches, so there is always a choice; one that fills more bundles goes before any that fills fewer.
     """
-    by: dict[str, list[tuple[str, tuple, dict]]] = {}
+    by: dict[str, list[tuple[tuple, tuple, dict]]] = {}
     for bundle, slug, trust, values in candidates:
-        by.setdefault(bundle, []).append((slug, trust, values))
+        by.setdefault(bundle, []).append(((0, slug), (1, *trust), values))
     for own in by.values():
         own.sort(key=lambda c: (tuple(-x for x in c[1]), c[0]))
+        if dependencies:
+            own.append(((1, ""), (0,) * len(own[0][1]), {}))  # unfilled
     names = sorted(by)
     plus = lambda a, b: tuple(x + y for x, y in zip(a, b))
     zero = (0,) * len(next(iter(by.values()))[0][1]) if by else ()
@@ -139,8 +142,8 @@ def best_bundles(candidates: list[tuple[str, str, tuple, dict]], dependencies: l
     for name in reversed(names):  # the most that the bundles from here on can add
         rest.append(plus(rest[-1], by[name][0][1]))
     rest.reverse()
-    best: tuple[tuple, list[str]] | None = None
-    chosen: list[str] = []
+    best: tuple[tuple, list[tuple]] | None = None
+    chosen: list[tuple] = []
     values: dict[str, str] = {}
 
     def consistent(new: dict) -> bool:
@@ -170,7 +173,7 @@ def best_bundles(candidates: list[tuple[str, str, tuple, dict]], dependencies: l
                 del values[f]
 
     branch(0, zero)
-    return dict(zip(names, best[1])) if best else {}
+    return {name: slug for name, (unfilled, slug) in zip(names, best[1]) if not unfilled}
 
 
 def survivors(
@@ -195,7 +198,8 @@ def survivors(
     parallel, and what reaches its search does not grow with its copies.
 
     Null, empty and one-page groups give no rows, pages with null content have no usable field, a slug named twice stands
-    for the better of its pages.  Repeated rows count once.  If no choice is consistent the group gives no rows.  Other columns aren't read.
+    for the better of its pages.  Repeated rows count once.  If no consistent choice fills all bundles, the best one that
+    fills most gives its rows.  Other columns aren't read.
     """
     dependencies = list(dependencies)
     bound_fields = sorted({f for pair in dependencies for f in pair})

@@ -126,3 +126,34 @@ def test_dependency_keeps_values_of_one_page_together(spark):
 
 def test_empty_table(spark):
     assert found(spark, []) == set()
+
+
+def test_partial_choice_equals_all_choices():
+    import random
+
+    rng, partial = random.Random(5), 0
+    for _ in range(80):
+        pages = {f"p{i}": {f: str(rng.randrange(3)) for f in "xyz" if rng.random() < 0.4} for i in range(5)}
+        candidates = [(f, s, (rng.randrange(3), rng.randrange(-9, 4)), {f: v[f]}) for s, v in pages.items() for f in v]
+        needed = [("x", "y"), ("y", "z")]
+        seen = {(a, b): {(v[a], v[b]) for v in pages.values() if a in v and b in v} for a, b in needed}
+        got = V.best_bundles(candidates, needed, seen)
+        names, best = sorted({c[0] for c in candidates}), None
+        for choice in itertools.product(*([c for c in candidates if c[0] == f] + [None] for f in names)):
+            taken = {c[0]: c for c in choice if c}
+            value = {f: c[3][f] for f, c in taken.items()}
+            if all((value[a], value[b]) in seen[a, b] for a, b in needed if a in value and b in value):
+                key = (-len(taken), [-sum(c[2][i] for c in taken.values()) for i in (0, 1)], [(f not in taken, taken[f][1] if f in taken else "") for f in names])
+                best = min(best or key, key)
+        want = {f: slug for f, (unfilled, slug) in zip(names, best[2]) if not unfilled}
+        assert got == want
+        partial += len(want) < len(names)
+    assert partial > 10
+
+
+def test_body_and_title_on_different_pages_still_survive(spark):
+    a, b = "---\ntitle: A\ndescription: d\n---\n", "Only a body."
+    df = spark.createDataFrame([(1, [page("a", a), page("b", b)], "x", 1)], SCHEMA)
+    bundles = {"naming": ("title", "description"), "body": ("body",)}
+    got = {tuple(r) for r in V.survivors(df, spark.createDataFrame([], "marker string"), bundles, [("body", "title")]).collect()}
+    assert got == {(1, "naming", "a")}
