@@ -11,6 +11,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from lorespan.functions import text as T
+from lorespan.session import written
 
 #: Weights of the fields, and the two constants of BM25.
 FIELD_WEIGHTS = {"filename": 4.0, "title": 3.0, "aliases": 2.5, "keywords": 2.0, "body": 1.0}
@@ -78,10 +79,19 @@ def lexical(pages: DataFrame, query: str, words: list[str], text: str = "text",
     return pages.select(id_col, score.alias("score")).where("score > 0")
 
 
-def ranked(scores: DataFrame, stream: str, id_col: str = "doc_id", most: int = 100) -> DataFrame:
-    """The best ``most`` of one stream with their places: ``id_col``, ``stream``, ``place``."""
-    best = scores.orderBy(F.desc("score"), id_col).limit(most)
-    return best.select(id_col, F.lit(stream).alias("stream"), F.row_number().over(W.orderBy(F.desc("score"), id_col)).alias("place"))
+def ranked(scores: DataFrame, stream: str, id_col: str = "doc_id") -> DataFrame:
+    """All of one stream with their places, best first: ``id_col``, ``stream``, ``place``.
+
+    The rows are split into ranges of score and id, numbered in each range and moved by the sizes of those before, so no
+    task holds the stream.
+    """
+    ranges = int(scores.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    split = scores.select(id_col, "score").repartitionByRange(ranges, F.desc("score"), F.col(id_col)).withColumn("range", F.spark_partition_id())
+    rows = written(split, "ranges")  # a range must not change between its two uses
+    sizes = rows.groupBy("range").agg(F.count("*").alias("n"))
+    before = sizes.select("range", (F.sum("n").over(W.orderBy("range")) - F.col("n")).alias("before"))  # one row per range
+    own = F.row_number().over(W.partitionBy("range").orderBy(F.desc("score"), id_col))
+    return rows.withColumn("own", own).join(F.broadcast(before), "range").select(id_col, F.lit(stream).alias("stream"), (F.col("before") + F.col("own")).alias("place"))
 
 
 def fuse(streams: list[DataFrame], id_col: str = "doc_id", k: int = RRF_K) -> DataFrame:

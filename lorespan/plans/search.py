@@ -48,7 +48,7 @@ def rrf_search(spark: SparkSession, folder: str) -> DataFrame:
     rows = pages(spark, folder)
     scores = S.bm25(rows, _fields(), WORDS).select("doc_id", F.round("score", 6).alias("score"))
     fused = S.fuse([S.ranked(S.lexical(rows, QUERY, WORDS), "lexical"), S.ranked(scores, "bm25")])
-    return fused.select("doc_id", F.round("score", 8).alias("score"), F.col("places")["lexical"].alias("lexical_place"), F.col("places")["bm25"].alias("bm25_place")).orderBy(F.desc("score"), "doc_id").limit(20)
+    return fused.select("doc_id", F.round("score", 8).alias("score"), F.col("places")["lexical"].cast("int").alias("lexical_place"), F.col("places")["bm25"].cast("int").alias("bm25_place")).orderBy(F.desc("score"), "doc_id").limit(20)
 
 
 def knn_l2(spark: SparkSession, folder: str) -> DataFrame:
