@@ -197,25 +197,37 @@ def bridges(members: DataFrame, pairs: DataFrame) -> DataFrame:
     return near.groupBy("id").agg(F.countDistinct("community").alias("communities")).where("communities >= 3")
 
 
-def communities(pairs: DataFrame, rounds: int = 10) -> DataFrame:
-    """``id``, ``community``: weighted label propagation; every page takes the label that most of its neighbours' weight has.
-
-    In each round half of the pages, chosen by a hash, may change, so that two pages can't swap labels forever; of equal
-    labels the smallest wins.  It ends when no page changes in two rounds.  ``pairs`` has ``a``, ``b``, ``weight``.
+def communities(nodes: DataFrame, pairs: DataFrame) -> DataFrame:
+    """``id``, ``community`` of every node: weighted label propagation; a page takes the label that most of its neighbours' weight has.
+
+    Of equal labels the smallest wins; a page without links keeps its own.  ``pairs`` has ``a``, ``b``, ``weight``.  It ends
+    when no page wants another label.  In each round half of the pages, chosen by a hash, may change.  Once that no longer
+    lowers the number of pages that want to, only pages change that come first, by a hash, among their neighbours that
+    want to: no two neighbours change at once, so each round raises the weight between equal labels, or makes labels
+    smaller at the same weight, and the end is sure.
     """
-    ways = written(pairs.select(F.col("a").alias("id"), F.col("b").alias("other"), "weight").unionByName(pairs.select(F.col("b").alias("id"), F.col("a").alias("other"), "weight")), "ways")
-    labels = written(ways.select("id").distinct().withColumn("community", F.col("id")), "labels")
-    quiet = 0
-    for turn in range(rounds):
-        votes = ways.join(labels.withColumnRenamed("id", "other"), "other").groupBy("id", "community").agg(F.round(F.sum("weight"), 6).alias("votes"))
+    ways = pairs.select(F.col("a").alias("id"), F.col("b").alias("other"), "weight").unionByName(pairs.select(F.col("b").alias("id"), F.col("a").alias("other"), "weight"))
+    ways = written(ways.withColumn("weight", F.round(F.col("weight") * 1e6).cast("long")), "ways")  # whole numbers, so that sums are the same in any order
+    labels = ways.select("id").distinct().withColumn("community", F.col("id"))
+    before, alone, turn = None, False, 0
+    while True:
+        labels = written(labels, "labels")
+        votes = ways.join(labels.withColumnRenamed("id", "other"), "other").groupBy("id", "community").agg(F.sum("weight").alias("votes"))
         best = votes.groupBy("id").agg(F.min(F.struct((-F.col("votes")).alias("less"), "community"))["community"].alias("next"))
-        moves = F.pmod(F.xxhash64("id", F.lit(turn // 2)), F.lit(2)) == turn % 2
-        after = written(labels.join(best, "id").select("id", F.when(moves, F.col("next")).otherwise(F.col("community")).alias("community"), (moves & (F.col("next") != F.col("community"))).alias("moved")), "labels")
-        quiet = 0 if not after.where("moved").isEmpty() else quiet + 1
-        labels = after.drop("moved")
-        if quiet == 2:
-            break
-    return labels
+        wants = written(labels.join(best, "id").where("next <> community").select("id", "next", F.xxhash64("id", F.lit(turn)).alias("order")), "wants")
+        left = wants.count()
+        if not left:
+            return nodes.select("id").join(labels, "id", "left").select("id", F.coalesce("community", "id").alias("community"))
+        alone = alone or (turn % 2 == 0 and before is not None and left >= before)
+        before = left if turn % 2 == 0 else before
+        if alone:
+            mine, theirs = wants.select("id", F.struct("order", "id").alias("mine")), wants.select(F.col("id").alias("other"), F.struct("order", F.col("id")).alias("theirs"))
+            late = ways.join(mine, "id").join(theirs, "other").where("mine > theirs").select("id").distinct()
+            moves = wants.join(late, "id", "left_anti")
+        else:
+            moves = wants.where(F.pmod(F.xxhash64("id", F.lit(turn // 2)), F.lit(2)) == turn % 2)
+        labels = labels.join(moves.select("id", "next"), "id", "left").select("id", F.coalesce("next", "community").alias("community"))
+        turn += 1
 
 
 #: Base weights of typed links.

@@ -89,7 +89,7 @@ def knowledge_gaps(spark: SparkSession, folder: str) -> DataFrame:
 
 def page_communities(spark: SparkSession, folder: str) -> DataFrame:
     pairs = relevance_pairs(spark, folder).select("a", "b", F.col("relevance").alias("weight"))
-    return G.communities(pairs)
+    return G.communities(nodes(spark, folder), pairs)
 
 
 def lint_findings(spark: SparkSession, folder: str) -> DataFrame:
