@@ -22,11 +22,12 @@ def chunk_documents(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def review_blocks(spark: SparkSession, folder: str) -> DataFrame:
-    """Reviews by kind and title; kinds that aren't known become ``confirm``."""
-    pattern = r"(?m)^---REVIEW: *([a-z\-]+) *\| *([^\n]*?) *---$"
+    """Reviews by kind and title, also where the header follows other text on its line; kinds, in any case, that aren't known become ``confirm``."""
+    pattern = r"(?m)---REVIEW: *(\w[\w\-]*) *\| *([^\n]*?) *---$"
     found = F.arrays_zip(F.regexp_extract_all("text", F.lit(pattern), F.lit(1)).alias("kind"), F.regexp_extract_all("text", F.lit(pattern), F.lit(2)).alias("title"))
     rows = table(spark, folder, "documents", spread=True).select("doc_id", F.explode(found).alias("r"))
-    known = F.when(F.col("r.kind").isin("contradiction", "duplicate", "missing-page", "suggestion", "confirm"), F.col("r.kind")).otherwise("confirm")
+    kind = F.lower("r.kind")
+    known = F.when(kind.isin("contradiction", "duplicate", "missing-page", "suggestion", "confirm"), kind).otherwise("confirm")
     return rows.groupBy(known.alias("kind"), F.lower("r.title").alias("title")).agg(F.count("*").alias("times"), F.countDistinct("doc_id").alias("docs"))
 
 

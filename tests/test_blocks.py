@@ -23,3 +23,12 @@ def test_chunks_keep_fences_and_headings():
 def test_long_unbroken_text():
     got = list(B.chunks("x" * 5000))
     assert "".join(c[0][-(c[3] - c[2] - (200 if i else 0)) :] for i, c in enumerate(got)) == "x" * 5000 and all(len(c[0]) <= 1500 for c in got)
+
+
+def test_review_headers_after_other_text(spark, tmp_path):
+    from lorespan.plans.blocks import review_blocks
+
+    texts = ["---REVIEW: duplicate | A---\nx\n---END REVIEW--- ---REVIEW: Missing-Page | B ---\ny\n---END REVIEW---", "text ---REVIEW: odd_kind2 | a---\n", None]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {tuple(r) for r in review_blocks(spark, str(tmp_path)).collect()}
+    assert got == {("duplicate", "a", 1, 1), ("missing-page", "b", 1, 1), ("confirm", "a", 1, 1)}
