@@ -21,6 +21,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p1_neighbours": lambda spark, folder: nearest_vectors(table(spark, folder, "chunk_vectors")).withColumn("score", F.round("score", 6)),
     "p2_found": lambda spark, folder: near_duplicates.found_pairs(table(spark, folder, "entity_summaries")),
     "p2_classes": lambda spark, folder: near_duplicates.similar_records(table(spark, folder, "entity_summaries"))[1],
+    "p2_members": lambda spark, folder: near_duplicates.similar_records(table(spark, folder, "entity_summaries"))[0].toDF("summary_id", "class"),
     "p4_found": lambda spark, folder: found_survivors(table(spark, folder, "merge_requests"), table(spark, folder, "null_markers")),
     "p4_consistent": lambda spark, folder: survivors(
         table(spark, folder, "merge_requests"), table(spark, folder, "null_markers"), {"naming": ("title", "description"), "origin": ("tags", "sources"), "body": ("body",)}, [("body", "title"), ("body", "sources")]
@@ -55,6 +56,8 @@ GROUP BY a.summary_id, b.summary_id, a.n, b.n HAVING count(*) >= 0.7 * (a.n + b.
 c AS (SELECT min(summary_id) AS id, w FROM r WHERE len(w) >= 10 GROUP BY w), e AS (SELECT id, len(w) AS n, unnest(w) AS word FROM c)
 SELECT a.id AS a, b.id AS b, count(*) / (a.n + b.n - count(*))::DOUBLE AS similarity FROM e a JOIN e b ON a.word = b.word AND a.id < b.id
 GROUP BY a.id, b.id, a.n, b.n HAVING count(*) >= 0.7 * (a.n + b.n - count(*))""",
+    "p2_members": f"""{_WORDS}
+SELECT summary_id, min(summary_id) OVER (PARTITION BY w) AS class FROM r WHERE len(w) >= 10""".replace("entity_summaries),", "entity_summaries)"),
     "p5_found": r"""
 WITH RECURSIVE e AS (
   SELECT group_id, lower(regexp_replace(u.s, '^\s+|\s+$', '', 'g')) AS slug FROM duplicate_groups, unnest(slugs) AS u(s)),

@@ -22,17 +22,46 @@ def family(rng, count, size=20, words=400):
     return sets
 
 
-@pytest.mark.parametrize("words", [30, 400])
-def test_divide_skip_equals_brute_force(words):
-    sets = family(random.Random(words), 150, words=words)
-    want = {(min(i, j), max(i, j)) for i in range(150) for j in range(i) if jaccard(sets[i], sets[j]) >= 0.7}
-    got = [(min(i, j), max(i, j)) for i, j, _ in N.divide_skip(sets, 0.7)]
-    assert len(got) == len(set(got)) and set(got) == want and want
+def brute(sets, threshold):
+    return {(i, j): jaccard(sets[i], sets[j]) for j in range(len(sets)) for i in range(j) if jaccard(sets[i], sets[j]) >= threshold - 1e-12}
 
 
-def test_sides():
-    sets = [["a", "b"], ["a", "b"], ["a", "b"]]
-    assert {frozenset((i, j)) for i, j, _ in N.divide_skip(sets, 0.7, [0, 1, 1])} == {frozenset((0, 1)), frozenset((0, 2))}
+def searched(spark, sets, threshold):
+    ranked = N.ranked_sets(spark.createDataFrame(list(enumerate(sets)), "id long, words array<string>"))
+    rows = N.similar_sets(ranked, threshold).collect()
+    got = {(r.a, r.b): r.similarity for r in rows}
+    assert len(got) == len(rows)
+    return got
+
+
+@pytest.mark.parametrize("words, threshold", [(30, 0.7), (400, 0.7), (60, 0.35), (60, 0.9)])
+def test_search_equals_brute_force(spark, words, threshold):
+    sets = [list(x) for x in dict.fromkeys(map(tuple, family(random.Random(words), 150, words=words)))]
+    want = brute(sets, threshold)
+    assert searched(spark, sets, threshold) == pytest.approx(want) and want
+
+
+@pytest.mark.parametrize("threshold", [0.1, 0.34, 0.5, 0.75])
+@pytest.mark.parametrize("hot", [3, 4000])
+def test_small_sets_and_hot_words(spark, monkeypatch, threshold, hot):
+    """Sets of one to six of eight words: every word is hot, and pairs may share as few words as a key has."""
+    rng = random.Random(3)
+    sets = [sorted(s) for s in {frozenset(rng.sample("abcdefgh", rng.randint(1, 6))) for _ in range(70)}]
+    monkeypatch.setattr(N, "HOT_RECORDS", hot)
+    monkeypatch.setattr(N, "STEP", 50)
+    monkeypatch.setattr(N, "ROWS", 20)
+    assert searched(spark, sets, threshold) == pytest.approx(brute(sets, threshold))
+
+
+def test_a_word_of_all_sets(spark, monkeypatch):
+    """Templates that share most of their words: the blocks of these are split by further words."""
+    rng = random.Random(4)
+    common = [f"c{i}" for i in range(14)]
+    sets = [sorted({*rng.sample(common, 12), *rng.sample([f"r{i}" for i in range(40)], 3)}) for _ in range(150)]
+    sets = [list(x) for x in dict.fromkeys(map(tuple, sets))]
+    monkeypatch.setattr(N, "HOT_RECORDS", 25)
+    want = brute(sets, 0.7)
+    assert searched(spark, sets, 0.7) == pytest.approx(want) and want
 
 
 SCHEMA = "summary_id long, title string, description string, tags array<string>, class int, words string"
@@ -50,7 +79,7 @@ def test_records(spark, monkeypatch):
     df = spark.createDataFrame(rows, SCHEMA)
     assert sorted(map(tuple, N.found_pairs(df).collect())) == want and (600, 603) in want
     monkeypatch.setattr(N, "HOT_RECORDS", 7)
-    monkeypatch.setattr(N, "BLOCK_POSTINGS", 50)
+    monkeypatch.setattr(N, "SHORT_LIST", 1)
     assert sorted(map(tuple, N.found_pairs(df).collect())) == want
 
 
@@ -60,3 +89,7 @@ def test_empty_table(spark):
 
 def test_found_equals_sql(spark, data):
     compare(spark, data, catalogue.QUERIES["p2_found"], catalogue.SQL["p2_found"])
+
+
+def test_members_equal_sql(spark, data):
+    compare(spark, data, catalogue.QUERIES["p2_members"], catalogue.SQL["p2_members"])
