@@ -5,10 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lorespan.session import written
+from lorespan.session import discard, written
 
 #: Rounds in which the clusters of one level grow: start times are cut to this many rounds.
-ROUNDS = 4
+ROUNDS = 6
 
 #: Rate of the exponential shifts; a smaller one gives larger clusters, which need more rounds.
 BETA = 0.3
@@ -40,9 +40,11 @@ def _grow(edges: DataFrame, level: int, rounds: int, beta: float) -> DataFrame:
     start = F.greatest(F.lit(0), F.lit(rounds) - F.floor(-F.log(uniform) / beta)).cast("int")
     # The order of arrivals: the time, then a hash of the center instead of the shift's fraction, then its name.
     state = starts.select("v", F.struct(start.alias("at"), F.xxhash64("v", F.lit(-level - 1)).alias("turn"), F.col("v").alias("center")).alias("first"))
-    for _ in range(rounds):
+    for now in range(rounds):
+        # Who was reached, or started, just now can't be reached earlier any more, and sends once: each link carries two messages in all.
+        sent = ways.join(state, "v").where((F.col("cost") == 0) | (F.col("first.at") == now))
         arrival = F.struct((F.col("first.at") + F.col("cost")).alias("at"), F.col("first.turn").alias("turn"), F.col("first.center").alias("center"))
-        state = ways.join(state, "v").select(F.col("to").alias("v"), arrival.alias("first")).groupBy("v").agg(F.min("first").alias("first"))
+        state = sent.select(F.col("to").alias("v"), arrival.alias("first")).groupBy("v").agg(F.min("first").alias("first"))
     return state.select("v", F.col("first.center").alias("center"))
 
 
@@ -53,7 +55,8 @@ def connected_groups(links: DataFrame, a: str = "a", b: str = "b", rounds: int =
     Method: low-diameter decomposition.  Clusters grow for a few rounds from exponentially shifted start times
     (:func:`_grow`), contract to super-vertices, and the same goes on with the links between clusters until none is left;
     a level leaves a constant share of the links, so the levels are about the logarithm of the number of links, whatever the
-    shapes (chains, stars).  Each level's assignment is written to the shared folder, and the assignments are composed.
+    shapes (chains, stars).  Each level's assignment of its vertices is written to the shared folder; at the end they are
+    composed from the last level, of fewest vertices, down to the members.  A level's links are deleted after the next one's.
 
     Links to oneself, repeated ones and those with a null end change nothing; an empty table gives no rows.  A member
     of very many links is no bottleneck: arrivals are reduced by a partial ``min`` before each shuffle, and the join
@@ -61,24 +64,25 @@ def connected_groups(links: DataFrame, a: str = "a", b: str = "b", rounds: int =
     """
     ends = links.select(links[a].alias("a"), links[b].alias("b")).where("a is not null and b is not null and a <> b")
     edges = written(ends.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "links")
-    # of: the super-vertex of each member; name: the smallest member of each super-vertex.
-    of, level = None, 0
+    levels: list[DataFrame] = []
     while not edges.isEmpty():
-        grown = written(_grow(edges, level, rounds, beta), "clusters")
-        if of is None:
-            of = grown.select(F.col("v").alias("member"), "center")
-        else:
-            # Super-vertices without links to others are complete and stay as they are.
-            next_ = grown.select(F.col("v").alias("center"), F.col("center").alias("next"))
-            of = written(of.join(next_, "center", "left").select("member", F.coalesce("next", "center").alias("center")), "groups")
+        grown = written(_grow(edges, len(levels), rounds, beta), "clusters")
+        levels.append(grown)
         left = grown.select(F.col("v").alias("a"), F.col("center").alias("ca"))
         right = grown.select(F.col("v").alias("b"), F.col("center").alias("cb"))
         between = edges.join(left, "a").join(right, "b").where("ca <> cb")
-        edges = written(between.select(F.least("ca", "cb").alias("a"), F.greatest("ca", "cb").alias("b")).distinct(), "links")
-        level += 1
-    if of is None:
+        next_ = written(between.select(F.least("ca", "cb").alias("a"), F.greatest("ca", "cb").alias("b")).distinct(), "links")
+        discard(edges)
+        edges = next_
+    if not levels:
         return ends.select(F.col("a").alias("member"), F.col("b").alias("group_name"))
-    return of.join(of.groupBy("center").agg(F.min("member").alias("group_name")), "center").select("member", "group_name")
+    of = levels.pop()
+    while levels:
+        # A center without links to others is no vertex of the next level: it is complete.
+        last = of.toDF("center", "last")
+        of = levels.pop().join(last, "center", "left").select("v", F.coalesce("last", "center").alias("center"))
+    of = written(of, "groups")
+    return of.join(of.groupBy("center").agg(F.min("v").alias("group_name")), "center").select(F.col("v").alias("member"), "group_name")
 
 
 def duplicate_classes(lists: DataFrame, list_col: str = "slugs") -> DataFrame:
