@@ -23,9 +23,10 @@ HAN = r"[\x{4e00}-\x{9fff}\x{3400}-\x{4dbf}]"
 
 def _spread(token: Column) -> Column:
     """A piece; of three or more characters, if Chinese, also its pairs and its single characters."""
-    # Extraction is linear in the length, unlike a substring at every place.
-    pairs = F.regexp_extract_all(token, F.lit(r"(?s)(?=(..))"), F.lit(1))
-    singles = F.filter(F.regexp_extract_all(token, F.lit(r"(?s)(.)"), F.lit(1)), lambda c: ~c.isin(*STOP_WORDS))
+    # Extraction is linear in the length, unlike a substring at every place; characters are code points, not halves of them.
+    chars = F.regexp_extract_all(token, F.lit(r"(?s)(.)"), F.lit(1))
+    pairs = F.zip_with(F.slice(chars, 1, F.size(chars) - 1), F.slice(chars, 2, F.size(chars) - 1), lambda a, b: F.concat(a, b))
+    singles = F.filter(chars, lambda c: ~c.isin(*STOP_WORDS))
     return F.when(token.rlike(HAN) & (F.length(token) > 2), F.concat(pairs, singles, F.array(token))).otherwise(F.array(token))
 
 
@@ -50,6 +51,71 @@ def query_tokens(text: Column) -> Column:
     return F.array_distinct(tokens(text, QUERY_BREAK))
 
 
+def _equals(word: str):
+    return lambda t: t == word
+
+
+def token_counts(text: Column, words: list[str], breaks: str = CORPUS_BREAK) -> Column:
+    """``length``, the number of words of a text, and ``tf``, how often each of ``words`` is one of them; in one pass over the text."""
+    pieces = F.filter(F.split(F.lower(text), breaks), lambda t: (F.length(t) > 1) & ~t.isin(*STOP_WORDS))
+    spread = F.when(text.rlike(HAN), F.flatten(F.transform(pieces, _spread))).otherwise(pieces)
+    count = lambda t: F.struct(F.size(t).alias("length"), F.array(*(F.size(F.filter(t, _equals(w))) for w in words)).alias("tf"))
+    return F.get(F.transform(F.array(spread), count), F.lit(0))  # bound once, used several times
+
+
+#: The front matter's fences, the opening one within the first six lines.
+FRONT = r"\A\x{feff}?(?:[^\n]*\n){0,5}?---[ \t]*\r?\n((?s:.*?))\r?\n---[ \t]*(?:\r?\n|\z)"
+
+#: A field of a front matter: its key, the value behind it, and the lines of a list under it.
+ENTRY = r"(?:\A|\n)([A-Za-z_][A-Za-z0-9_-]*)[ \t]*:([^\n]*)((?:\n[ \t]*-(?:[ \t][^\n]*)?)*)"
+
+#: A list of links without brackets around it.
+BARE_LINKS = r"\A\[\[[^\]]+\]\](?:[ \t]*,[ \t]*\[\[[^\]]+\]\])+\z"
+
+
+def front_block(text: Column) -> Column:
+    """The lines of the front matter between its fences, or an empty text."""
+    return F.regexp_extract(text, FRONT, 1)
+
+
+def page_body(text: Column) -> Column:
+    """What stands behind the front matter, or the whole text."""
+    return F.regexp_replace(text, FRONT, "")
+
+
+def bare(value: Column) -> Column:
+    """Trimmed, freed of one pair of quotes, trimmed again."""
+    blank = F.lit(" \t\r")
+    return F.btrim(F.regexp_replace(F.btrim(value, blank), r"""(?s)\A(?:"(.*)"|'(.*)')\z""", "$1$2"), blank)
+
+
+def front_matter(text: Column) -> Column:
+    """The front matter's fields in order, repeats included: an array of ``field`` and ``entries``, a scalar being a list of one.
+
+    Lists are ``[a, b]``, lines ``- a`` under the key, or links one behind the other.
+    """
+    block = front_block(text)
+    part = lambda i: F.regexp_extract_all(block, F.lit(ENTRY), F.lit(i))
+
+    def field(x: Column) -> Column:
+        value = F.btrim(x["value"], F.lit(" \t\r"))
+        split = lambda v: F.transform(F.split(v, ","), bare)
+        entries = (
+            F.when(value == "", F.transform(F.regexp_extract_all(x["items"], F.lit(r"-([^\n]*)"), F.lit(1)), bare))
+            .when(value.rlike(BARE_LINKS), split(value))
+            .when(value.startswith("[") & value.endswith("]") & ~value.startswith("[["), split(F.regexp_replace(value, r"(?s)\A\[(.*)\]\z", "$1")))
+            .otherwise(F.array(bare(value)))
+        )
+        return F.struct(x["field"].alias("field"), F.filter(entries, lambda e: e != "").alias("entries"))
+
+    return F.transform(F.arrays_zip(part(1).alias("field"), part(2).alias("value"), part(3).alias("items")), field)
+
+
+def front_entries(fields: Column, *names: str) -> Column:
+    """All entries of the fields of these names."""
+    return F.flatten(F.transform(F.filter(fields, lambda x: F.lower(x["field"]).isin(*names)), lambda x: x["entries"]))
+
+
 def file_stem(path: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(path, r"^.*/", ""), r"\.md$", "")
 
@@ -67,6 +133,24 @@ def wikilinks(text: Column) -> Column:
     return F.transform(F.regexp_extract_all(text, F.lit(r"\[\[([^\]|]+)(?:\|[^\]]+)?\]\]"), F.lit(1)), F.trim)
 
 
+#: A fenced block of code, a span of code, a lone back quote, or a piece of other text.
+CODE_OR_TEXT = r"```(?s:.*?)```|`[^`\n]+`|`|[^`]+"
+
+#: Links between pages, with a label and without.
+LABELLED, UNLABELLED = r"\[\[[ \t]*([^\]|\n]*[^\]|\n \t])[ \t]*\|[ \t]*([^\]\n]*[^\]\n \t])[ \t]*\]\]", r"\[\[[ \t]*([^\]|\n]*[^\]|\n \t])[ \t]*(?:\|[ \t]*)?\]\]"
+
+
+def markdown_links(text: Column) -> Column:
+    """``[[target|label]]`` and ``[[target]]`` as links of Markdown to ``#target``."""
+    return F.regexp_replace(F.regexp_replace(text, LABELLED, "[$2](#$1)"), UNLABELLED, "[$1](#$1)")
+
+
+def outside_code(text: Column, change) -> Column:
+    """A text changed outside of its fenced blocks and spans of code."""
+    parts = F.regexp_extract_all(text, F.lit(CODE_OR_TEXT), F.lit(0))
+    return F.array_join(F.transform(parts, lambda x: F.when(x.startswith("`"), x).otherwise(change(x))), "")
+
+
 def image_urls(text: Column) -> Column:
     """The addresses of ``![alt](url)``, each once, in order."""
     return F.array_distinct(F.regexp_extract_all(text, F.lit(r"!\[[^\]]*\]\(([^)\s]+)\)"), F.lit(1)))
@@ -87,15 +171,27 @@ def snippet(text: Column, phrase: str, context: int = 80) -> Column:
     return F.when(at == 0, F.replace(F.substring(text, 1, 2 * context), F.lit("\n"), F.lit(" "))).otherwise(whole)
 
 
+#: Where a run of letters, digits and underscores begins or ends, in ASCII as in the patterns' origin.
+EDGE = r"(?:(?<![A-Za-z0-9_])(?=[A-Za-z0-9_])|(?<=[A-Za-z0-9_])(?![A-Za-z0-9_]))"
+
+#: What is taken out of a text, in this order, and what is put in its place; ``\b`` is an edge of ASCII words.
+SECRETS = (
+    (r"(?i)<private\b[^>]*>(?s:.*?)</private>", "<private>[REDACTED:private]</private>"),
+    (r"(?i)\b([a-z][a-z0-9+.\-]*://)([^/\s@]+@)", "$1[REDACTED:secret]@"),
+    (r"(?i)(\bAuthorization\s*:\s*Bearer\s+)([A-Za-z0-9._~+/=\-]{8,})", "$1[REDACTED:secret]"),
+    (r"""(?i)\b([A-Za-z0-9_.\-]*(?:api[_\-]?key|token|secret|password|passwd)[A-Za-z0-9_.\-]*\s*[:=]\s*)([^\s"',`<>]+)""", "$1[REDACTED:secret]"),
+    (r"\b(?:sk-[A-Za-z0-9_\-]{10,}|sk-proj-[A-Za-z0-9_\-]{10,}|ghp_[A-Za-z0-9_]{20,}|xox[baprs]-[A-Za-z0-9\-]{10,})\b", "[REDACTED:secret]"),
+)
+
+#: Fixed value: keys of an event whose values are secret.
+SECRET_KEY = r"(?i)(?:api[_-]?key|token|secret|password|passwd)"
+
+
 def redacted(text: Column) -> Column:
-    """A text without private blocks, credentials in addresses, bearer tokens, and values of secret keys."""
-    # The patterns and their order.
-    secret = "[REDACTED:secret]"
-    out = F.regexp_replace(text, r"(?is)<private(?:[ \t\n][^>]*)?>.*?</private>", "<private>[REDACTED:private]</private>")
-    out = F.regexp_replace(out, r"(?i)([a-z][a-z0-9+.\-]*://)([^/\s@]+@)", "$1" + secret + "@")
-    out = F.regexp_replace(out, r"(?i)(Authorization\s*:\s*Bearer\s+)([A-Za-z0-9._~+/=\-]{8,})", "$1" + secret)
-    out = F.regexp_replace(out, r"""(?i)((?:[A-Za-z0-9_.\-]*)(?:api[_\-]?key|token|secret|password|passwd)[A-Za-z0-9_.\-]*\s*[:=]\s*)([^\s"',`<>]+)""", "$1" + secret)
-    return F.regexp_replace(out, r"(?:sk-[A-Za-z0-9_\-]{10,}|ghp_[A-Za-z0-9_]{20,}|xox[baprs]-[A-Za-z0-9\-]{10,})", secret)
+    """A text without private blocks, credentials in addresses, bearer tokens, values of secret keys, and well-known tokens."""
+    for pattern, safe in SECRETS:
+        text = F.regexp_replace(text, pattern.replace(r"\b", EDGE), safe)
+    return text
 
 
 def slug(text: Column, most: int = 50) -> Column:
@@ -105,13 +201,11 @@ def slug(text: Column, most: int = 50) -> Column:
 
 
 def fnv36(text: Column) -> Column:
-    """FNV-1a of 32 bits over the bytes of the UTF-8 text, in base 36."""
+    """FNV-1a of 32 bits over the code points of a text, in base 36."""
     # Offset basis and prime of FNV-1a.
-    raw = F.hex(F.encode(text, "UTF-8"))
-    count = (F.length(raw) / 2).cast("int")
-    bytes_ = F.transform(F.sequence(F.lit(1), count), lambda i: F.conv(F.substring(raw, i * 2 - 1, F.lit(2)), 16, 10).cast("long"))
-    bytes_ = F.when(text == "", F.expr("cast(array() as array<bigint>)")).otherwise(bytes_)
-    hashed = F.aggregate(bytes_, F.lit(2166136261).cast("long"), lambda h, b: (h.bitwiseXOR(b) * F.lit(16777619)).bitwiseAND(F.lit(4294967295)))
+    points = F.transform(F.regexp_extract_all(text, F.lit(r"(?s)(.)"), F.lit(1)), lambda c: F.ascii(c).cast("long"))
+    # 16777619 is 2^24 + 403: so the product stays within a long and is cut to 32 bits.
+    hashed = F.aggregate(points, F.lit(2166136261).cast("long"), lambda h, c: (h.bitwiseXOR(c) * F.lit(16777619)).bitwiseAND(F.lit(4294967295)))
     return F.lower(F.conv(hashed.cast("string"), 10, 36))
 
 

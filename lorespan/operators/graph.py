@@ -72,22 +72,28 @@ def _both_ways(pairs: DataFrame) -> DataFrame:
     return pairs.select(F.col("a").alias("id"), F.col("b").alias("other")).unionByName(pairs.select(F.col("b").alias("id"), F.col("a").alias("other")))
 
 
+def page_degrees(pairs: DataFrame) -> DataFrame:
+    """``id``, ``neighbours``, ``degree``: a page's pages, and its outgoing and incoming ones together, so that a mutual link counts two."""
+    ways = pairs.select(F.col("a").alias("id"), "directions").unionByName(pairs.select(F.col("b").alias("id"), "directions"))
+    return ways.groupBy("id").agg(F.count("*").alias("neighbours"), F.sum("directions").alias("degree"))
+
+
 def adamic_adar(pairs: DataFrame) -> DataFrame:
     """``a``, ``b``, ``common``, ``adamic_adar`` of linked pairs: the sum of 1 / ln(degree) over neighbours of both.
 
-    Each pair asks the neighbours of its end of lower degree, so a hub's neighbours are never paired with each other: the
-    work is that of listing triangles, not the square of a degree.
+    ``pairs`` has ``a``, ``b`` and the number of ``directions``.  Each pair asks the neighbours of its end of fewer, so a hub's
+    neighbours are never paired with each other: the work is that of listing triangles, not the square of a degree.
     """
     ways = _both_ways(pairs)
-    degree = ways.groupBy("id").agg(F.count("*").alias("degree"))
-    da, db = degree.toDF("a", "da"), degree.toDF("b", "db")
+    degree = page_degrees(pairs)
+    da, db = degree.select(F.col("id").alias("a"), F.col("neighbours").alias("da")), degree.select(F.col("id").alias("b"), F.col("neighbours").alias("db"))
     asked = pairs.join(da, "a").join(db, "b")
     low = F.when((F.col("da") < F.col("db")) | ((F.col("da") == F.col("db")) & (F.col("a") < F.col("b"))), F.col("a")).otherwise(F.col("b"))
     asked = asked.select("a", "b", low.alias("id"), F.when(low == F.col("a"), F.col("b")).otherwise(F.col("a")).alias("far"))
     middle = asked.join(ways, "id").where("other <> far").select("a", "b", "far", F.col("other").alias("mid"))
     closed = middle.join(ways.select(F.col("id").alias("mid"), F.col("other").alias("far")), ["mid", "far"], "left_semi")
-    weighted = closed.join(degree.toDF("mid", "dm"), "mid")
-    return weighted.groupBy("a", "b").agg(F.count("*").alias("common"), F.sum(F.lit(1.0) / F.ln(F.greatest("dm", F.lit(2)).cast("double"))).alias("adamic_adar"))
+    weighted = closed.join(degree.select(F.col("id").alias("mid"), "degree"), "mid")
+    return weighted.groupBy("a", "b").agg(F.count("*").alias("common"), F.sum(F.lit(1.0) / F.ln(F.greatest("degree", F.lit(2)).cast("double"))).alias("adamic_adar"))
 
 
 def affinity(a: Column, b: Column) -> Column:
@@ -98,7 +104,7 @@ def affinity(a: Column, b: Column) -> Column:
 def relevance(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """``a``, ``b``, ``direct``, ``shared_sources``, ``adamic_adar``, ``relevance`` of every linked pair."""
     pairs = written(undirected_edges(edges), "pairs")  # read five times below
-    near = adamic_adar(pairs.select("a", "b"))
+    near = adamic_adar(pairs)
     ends = nodes.select("id", "type", "sources")
     both = pairs.join(ends.toDF("a", "ta", "sa"), "a").join(ends.toDF("b", "tb", "sb"), "b").join(near, ["a", "b"], "left")
     aa = F.coalesce("adamic_adar", F.lit(0.0))
@@ -120,11 +126,13 @@ def related(nodes: DataFrame, edges: DataFrame, k: int, hub: int = HUB) -> DataF
     project = F.coalesce("project_id", F.lit("")).alias("project")
     kind = F.when(F.col("type").isin(*AFFINITY), F.col("type")).otherwise(F.lit("")).alias("type")
     own = written(nodes.select("id", project, kind, "sources"), "nodes")
-    things = _both_ways(pairs).select("id", F.struct(F.lit("page").alias("kind"), F.lit("").alias("project"), F.col("other").alias("name")).alias("thing"))
+    ways = pairs.select(F.col("a").alias("id"), F.col("b").alias("other"), "directions").unionByName(pairs.select(F.col("b").alias("id"), F.col("a").alias("other"), "directions"))
+    things = ways.select("id", "directions", F.struct(F.lit("page").alias("kind"), F.lit("").alias("project"), F.col("other").alias("name")).alias("thing"))
     named = own.select("id", "project", F.explode(F.array_distinct("sources")).alias("name"))
-    things = things.unionByName(named.select("id", F.struct(F.lit("source").alias("kind"), "project", "name").alias("thing")))
-    held = things.groupBy("thing").agg(F.count("*").alias("n")).where("n > 1")
-    weight = F.when(F.col("thing.kind") == "source", F.lit(OVERLAP)).otherwise(F.lit(COMMON) / F.ln(F.greatest("n", F.lit(2)).cast("double")))
+    things = things.unionByName(named.select("id", F.lit(0).cast("long").alias("directions"), F.struct(F.lit("source").alias("kind"), "project", "name").alias("thing")))
+    held = things.groupBy("thing").agg(F.count("*").alias("n"), F.sum("directions").alias("degree")).where("n > 1")
+    weight = F.when(F.col("thing.kind") == "source", F.lit(OVERLAP)).otherwise(F.lit(COMMON) / F.ln(F.greatest("degree", F.lit(2)).cast("double")))
+    things = things.drop("directions")
     things = written(things.join(held.select("thing", "n", weight.alias("weight")), "thing"), "things")
 
     few = things.where(F.col("n") <= hub)

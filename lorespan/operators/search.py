@@ -11,7 +11,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from lorespan.functions import text as T
-from lorespan.session import written
+from lorespan.session import numbered
 
 #: Weights of the fields, and the two constants of BM25.
 FIELD_WEIGHTS = {"filename": 4.0, "title": 3.0, "aliases": 2.5, "keywords": 2.0, "body": 1.0}
@@ -39,67 +39,82 @@ def bm25_stats(tokens: DataFrame, id_col: str = "doc_id") -> DataFrame:
     return tokens.groupBy("field", "token", id_col).count().groupBy("field", "token").agg(F.count("*").alias("df"))
 
 
-def bm25(pages: DataFrame, fields: dict[str, Column], query: list[str], id_col: str = "doc_id", weights: dict[str, float] = FIELD_WEIGHTS, k1: float = K1, b: float = B) -> DataFrame:
-    """``id_col``, ``score`` and a map ``by_field`` of the pages in which a query word stands.
-
-    One pass over the words: lengths, frequencies of the query's words and their document frequencies are partial
-    aggregates per page, so only a few rows per page are shuffled, never the words.
-    """
-    n = pages.agg(F.count("*").alias("n"))
-    tf = [F.count_if(F.col("token") == t).alias(f"tf{i}") for i, t in enumerate(query)]
-    each = field_rows(pages, fields, id_col).groupBy(id_col, "field").agg(F.count("*").alias("length"), *tf)
-    df = [F.count_if(F.col(f"tf{i}") > 0).alias(f"df{i}") for i in range(len(query))]
-    stats = each.groupBy("field").agg(F.sum("length").alias("total"), *df).join(F.broadcast(n))  # one row per field, and one row
-    weight = F.element_at(F.create_map(*(F.lit(x) for pair in weights.items() for x in pair)), F.col("field"))
-    average = F.col("total") / F.col("n")
+def bm25_counts(fields: dict[str, Column], query: list[str]) -> list[Column]:
+    """A column for each field with its number of words and how often each query word is among them (:func:`T.token_counts`)."""
+    return [T.token_counts(F.coalesce(value, F.lit("")), query).alias(name) for name, value in fields.items()]
 
-    def part(i: int) -> Column:
-        tf, df = F.col(f"tf{i}"), F.col(f"df{i}")
-        idf = F.ln(F.lit(1.0) + (F.col("n") - df + F.lit(0.5)) / (df + F.lit(0.5)))
-        return F.when(tf > 0, idf * (tf * F.lit(k1 + 1)) / (tf + F.lit(k1) * (F.lit(1 - b) + F.lit(b) * F.col("length") / average))).otherwise(F.lit(0.0))
-
-    scored = each.join(F.broadcast(stats), "field").withColumn("part", weight * sum((part(i) for i in range(len(query))), F.lit(0.0))).where("part > 0")
-    return scored.groupBy(id_col).agg(F.sum("part").alias("score"), F.map_from_entries(F.array_sort(F.collect_list(F.struct("field", "part")))).alias("by_field"))
 
+def bm25(counted: DataFrame, fields: list[str], query: list[str], id_col: str = "doc_id", weights: dict[str, float] = FIELD_WEIGHTS, k1: float = K1, b: float = B) -> DataFrame:
+    """``id_col``, ``score`` and a map ``by_field`` of the pages in which a query word stands.
 
-def lexical(pages: DataFrame, query: str, words: list[str], text: str = "text", path: str = "page_path", id_col: str = "doc_id") -> DataFrame:
-    """``id_col``, ``score`` of the pages whose name, title or text holds the phrase, or any of its words as a substring."""
+    ``counted`` has a row for each page with the columns of :func:`bm25_counts`; it is read twice, once for the statistics of
+    the collection, which are one row, so no page is shuffled.
+    """
+    words = range(len(query))
+    sums = [F.sum(f"{f}.length").alias(f"total_{f}") for f in fields] + [F.count_if(F.col(f"{f}.tf")[i] > 0).alias(f"df_{f}_{i}") for f in fields for i in words]
+    stats = counted.agg(F.count("*").alias("n"), *sums)
+
+    def part(f: str) -> Column:
+        score, average = F.lit(0.0), F.col(f"total_{f}") / F.col("n")
+        for i in words:
+            tf, df = F.col(f"{f}.tf")[i], F.col(f"df_{f}_{i}")
+            idf = F.ln(F.lit(1.0) + (F.col("n") - df + F.lit(0.5)) / (df + F.lit(0.5)))
+            score += F.when(tf > 0, idf * (tf * F.lit(k1 + 1)) / (tf + F.lit(k1) * (F.lit(1 - b) + F.lit(b) * F.col(f"{f}.length") / average))).otherwise(F.lit(0.0))
+        return F.lit(weights[f]) * score
+
+    hit = F.exists(F.array(*(F.array_max(F.col(f"{f}.tf")) for f in fields)), lambda most: most > 0)
+    scored = counted.where(hit).join(F.broadcast(stats)).select(id_col, *(part(f).alias(f) for f in fields))
+    parts = F.filter(F.array(*(F.struct(F.lit(f).alias("key"), F.col(f).alias("value")) for f in sorted(fields))), lambda x: x["value"] > 0)
+    return scored.select(id_col, sum((F.col(f) for f in fields), F.lit(0.0)).alias("score"), F.map_from_entries(parts).alias("by_field"))
+
+
+def lexical(query: str, words: list[str], text: str = "text", path: str = "page_path") -> Column:
+    """The score of a page whose name, title or text holds the phrase, or any of its words as a substring; 0 for others."""
     phrase = query.strip().lower()
     stem = F.lower(T.file_stem(F.col(path)))
     title = F.lower(F.concat_ws(" ", T.page_title(F.col(text), F.col(path)), F.regexp_replace(path, r"^.*/", "")))
     body = F.lower(text)
     any_of = lambda where: sum((F.contains(where, F.lit(w)).cast("int") for w in words), F.lit(0))
-    score = (
+    return (
         F.coalesce(stem == phrase, F.lit(False)).cast("int") * FILENAME_EXACT
         + F.contains(title, F.lit(phrase)).cast("int") * PHRASE_IN_TITLE
         + F.least(T.occurrences(body, phrase), F.lit(MOST_PHRASES)) * PHRASE_IN_CONTENT
         + any_of(title) * TITLE_TOKEN
         + any_of(body) * CONTENT_TOKEN
     )
-    return pages.select(id_col, score.alias("score")).where("score > 0")
 
 
 def ranked(scores: DataFrame, stream: str, id_col: str = "doc_id") -> DataFrame:
-    """All of one stream with their places, best first: ``id_col``, ``stream``, ``place``.
+    """All of one stream with their places, best first: ``id_col``, ``stream``, ``place``; see :func:`numbered`."""
+    placed, _ = numbered(scores.select(id_col, "score"), F.desc("score"), id_col, name="place")
+    return placed.select(id_col, F.lit(stream).alias("stream"), "place")
 
-    The rows are split into ranges of score and id, numbered in each range and moved by the sizes of those before, so no
-    task holds the stream.
-    """
-    ranges = int(scores.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    split = scores.select(id_col, "score").repartitionByRange(ranges, F.desc("score"), F.col(id_col)).withColumn("range", F.spark_partition_id())
-    rows = written(split, "ranges")  # a range must not change between its two uses
-    sizes = rows.groupBy("range").agg(F.count("*").alias("n"))
-    before = sizes.select("range", (F.sum("n").over(W.orderBy("range")) - F.col("n")).alias("before"))  # one row per range
-    own = F.row_number().over(W.partitionBy("range").orderBy(F.desc("score"), id_col))
-    return rows.withColumn("own", own).join(F.broadcast(before), "range").select(id_col, F.lit(stream).alias("stream"), (F.col("before") + F.col("own")).alias("place"))
+
+def _other_than(stream: str):
+    return lambda name, _: name != stream
 
 
-def fuse(streams: list[DataFrame], id_col: str = "doc_id", k: int = RRF_K) -> DataFrame:
-    """Reciprocal rank fusion: ``id_col``, ``score`` and ``places``, a map from the streams that found the page to its place."""
+def fuse(streams: list[DataFrame], id_col: str = "doc_id", k: int = RRF_K, instead: dict[str, str] | None = None) -> DataFrame:
+    """Reciprocal rank fusion: ``id_col``, ``score`` and ``places``, a map from the streams that found the page to its place.
+
+    ``instead`` names streams that count only for pages that another one hasn't found.
+    """
     together = streams[0]
     for s in streams[1:]:
         together = together.unionByName(s)
-    return together.groupBy(id_col).agg(F.sum(F.lit(1.0) / (F.lit(k) + F.col("place"))).alias("score"), F.map_from_entries(F.array_sort(F.collect_list(F.struct("stream", "place")))).alias("places"))
+    placed = together.groupBy(id_col).agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("stream", "place")))).alias("places"))  # one entry for each stream
+    counted = F.col("places")
+    for stream, other in (instead or {}).items():
+        counted = F.when(F.map_contains_key("places", other), F.map_filter(counted, _other_than(stream))).otherwise(counted)
+    score = F.aggregate(F.array_sort(F.map_values(counted)), F.lit(0.0), lambda sum_, place: sum_ + F.lit(1.0) / (F.lit(k) + place))
+    return placed.select(id_col, score.alias("score"), "places")
+
+
+def nearest_to(vectors: DataFrame, query: DataFrame, most: int, id_col: str = "chunk_id", vector_col: str = "v") -> DataFrame:
+    """``id_col``, ``score``: the ``most`` vectors nearest to one query vector (``query`` has one row ``q``), scored 1 / (1 + distance); of equal ones the first ids."""
+    distance = F.sqrt(F.aggregate(F.zip_with("q", vector_col, lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda s, x: s + x))
+    scored = vectors.join(F.broadcast(query)).select(id_col, F.round(F.lit(1.0) / (F.lit(1.0) + distance), 9).alias("score"))
+    return scored.orderBy(F.desc("score"), id_col).limit(most)
 
 
 def nearest(vectors: DataFrame, queries: DataFrame, k: int, id_col: str = "vec_id", vector_col: str = "embedding", metric: str = "l2") -> DataFrame:

@@ -43,7 +43,7 @@ QUERIES = {f.__name__: f for f in (file_blocks, chunk_documents, review_blocks,
 
 SQL = {
     "review_blocks": r"""SELECT CASE WHEN k IN ('contradiction', 'duplicate', 'missing-page', 'suggestion', 'confirm') THEN k ELSE 'confirm' END AS kind, lower(t) AS title, count(*) AS times, count(DISTINCT doc_id) AS docs FROM (
-  SELECT doc_id, unnest(regexp_extract_all(text, '(?m)^---REVIEW: *([a-z\-]+) *\| *([^\n]*?) *---$', 1)) AS k, unnest(regexp_extract_all(text, '(?m)^---REVIEW: *([a-z\-]+) *\| *([^\n]*?) *---$', 2)) AS t FROM documents WHERE text IS NOT NULL) GROUP BY 1, 2""",
+  SELECT doc_id, lower(unnest(regexp_extract_all(text, '(?m)---REVIEW: *(\w[\w\-]*) *\| *([^\n]*?) *---$', 1))) AS k, unnest(regexp_extract_all(text, '(?m)---REVIEW: *(\w[\w\-]*) *\| *([^\n]*?) *---$', 2)) AS t FROM documents WHERE text IS NOT NULL) GROUP BY 1, 2""",
     "audit_lines": """SELECT CASE WHEN NOT json_valid(raw) THEN 'bad' ELSE split_part(json_extract_string(raw, '$.action'), '.', 1) END AS category, count(*) AS events, count(DISTINCT doc_id) AS docs FROM (
   SELECT doc_id, unnest(string_split(text, chr(10))) AS raw FROM documents WHERE text IS NOT NULL) WHERE starts_with(raw, '{"schemaVersion"') GROUP BY 1""",
 }

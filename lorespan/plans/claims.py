@@ -26,14 +26,18 @@ def typed_edges(spark: SparkSession, folder: str) -> DataFrame:
     return G.typed_edges(nodes(spark, folder), _stated(spark, folder)).withColumn("weight", F.round("weight", 6))
 
 
-def typed_ranks(spark: SparkSession, folder: str) -> DataFrame:
-    """The 12 best pages by a walk of two hops along typed links from the five best seeds."""
-    n = nodes(spark, folder)
-    seeds = G.seed_scores(n, QUERY, WORDS).orderBy(F.desc("score"), "id").limit(5)
+def ranked_pages(spark: SparkSession, folder: str, query: str, words: list[str]) -> DataFrame:
+    """``id``, ``score``, ``hops`` of the 12 best pages by a walk of two hops along typed links from the five best seeds."""
+    n = written(nodes(spark, folder), "nodes")
+    seeds = G.seed_scores(n, query, words).orderBy(F.desc("score"), "id").limit(5)
     edges = G.typed_edges(n, _stated(spark, folder)).groupBy(F.least("source", "target").alias("a"), F.greatest("source", "target").alias("b")).agg(F.max("weight").alias("weight"))
     return G.traverse(seeds, written(edges, "typed")).select("id", F.round("score", 6).alias("score"), "hops").orderBy(F.desc("score"), "id").limit(12)
 
 
+def typed_ranks(spark: SparkSession, folder: str) -> DataFrame:
+    return ranked_pages(spark, folder, QUERY, WORDS)
+
+
 def one_sided_supersessions(spark: SparkSession, folder: str) -> DataFrame:
     """Supersessions that only one of the two pages states."""
     rows = _stated(spark, folder).where(F.col("field").isin("supersedes", "superseded_by"))
@@ -45,10 +49,10 @@ def one_sided_supersessions(spark: SparkSession, folder: str) -> DataFrame:
 
 def contract_drift(spark: SparkSession, folder: str) -> DataFrame:
     """Front matters against the contract: missing or unknown type, missing title, bad date, a list field that is no list."""
-    block = F.regexp_extract("text", r"\A---\n((?s:.*?)\n)---(?:\n|\z)", 1)
-    value = lambda key: F.trim(F.regexp_extract("block", rf"(?:\A|\n){key}:[ \t]*([^\n]*)", 1))
+    block = T.front_block(F.col("text"))
+    value = lambda key: F.trim(F.regexp_extract("block", rf"(?:\A|\n){key}:[ \t]*([^\r\n]*)", 1))
     has = lambda key: F.col("block").rlike(rf"(?:\A|\n){key}:")
-    rows = table(spark, folder, "documents", spread=True).select("doc_id", block.alias("block")).where("block <> ''")
+    rows = table(spark, folder, "documents", spread=True).where("text is not null").select("doc_id", block.alias("block"))
     updated = F.regexp_replace(value("updated"), "[\"']", "")
     day = F.try_to_date(updated, "yyyy-MM-dd")
     findings = F.array(
@@ -56,7 +60,8 @@ def contract_drift(spark: SparkSession, folder: str) -> DataFrame:
         F.when(has("updated") & (~updated.rlike("^[0-9]{4}-[0-9]{2}-[0-9]{2}$") | day.isNull()), "bad-date"),
         *(F.when((value(f) != "") & ~value(f).startswith("["), f"{f}-no-list") for f in ("tags", "sources")),
     )
-    return rows.select("doc_id", F.explode(F.filter(findings, lambda x: x.isNotNull())).alias("finding"))
+    found = F.when(F.col("block") == "", F.array(F.lit("missing-frontmatter"))).otherwise(F.filter(findings, lambda x: x.isNotNull()))
+    return rows.select("doc_id", F.explode(found).alias("finding"))
 
 
 def crystallize_score(spark: SparkSession, folder: str) -> DataFrame:
@@ -102,9 +107,8 @@ def search_eval(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def markdown_links(spark: SparkSession, folder: str) -> DataFrame:
-    """Texts with ``[[target|label]]`` as Markdown links."""
-    labelled = F.regexp_replace("text", r"\[\[([^\]|\n]+)\|([^\]\n]+)\]\]", "[$2]($1.md)")
-    plain = F.regexp_replace(labelled, r"\[\[([^\]|\n]+)\]\]", "[$1]($1.md)")
+    """Texts with ``[[target|label]]`` as Markdown links, but for fenced blocks and spans of code, which stay as they are."""
+    plain = T.outside_code(F.col("text"), T.markdown_links)
     return table(spark, folder, "documents", spread=True).where(F.contains("text", F.lit("[["))).select("doc_id", plain.alias("markdown"))
 
 
@@ -124,16 +128,32 @@ lk AS (SELECT project_id, id AS source, 'mentions' AS type, false AS explicit, f
   UNION ALL SELECT project_id, id, 'derived_from', true, false, {_KEY.format('link')} FROM (SELECT *, regexp_replace(unnest(sources), '\\.[A-Za-z0-9]+$', '') AS link FROM n) UNION ALL SELECT project_id, source, {_FIELD}, true, field = 'superseded_by', key FROM st WHERE {_FIELD} IS NOT NULL),
 te AS (SELECT DISTINCT CASE WHEN turned THEN target ELSE source END AS source, CASE WHEN turned THEN source ELSE target END AS target, type, explicit FROM lk JOIN names USING (project_id, key) WHERE source <> target),
 tw AS (SELECT *, round({_W(G.EDGE_WEIGHTS)} * CASE WHEN explicit THEN 1.15e0 ELSE 1e0 END * {0.75 + 0.5 * 0.55!r}::DOUBLE, 6) AS weight FROM te)"""
-_val = lambda k: rf"trim(regexp_extract(block, '(?:\A|\n){k}:[ \t]*([^\n]*)', 1), ' ')"
+
+
+def _RANKS(query: str, words: list[str]) -> str:  # noqa: N802
+    """tr: the best pages along typed links."""
+    name = query.strip().lower().replace(" ", "-")
+    each = " + ".join(f"CASE WHEN contains(id, '{w}') THEN 1.5e0 ELSE 0 END + CASE WHEN contains(t, '{w}') THEN 1.5e0 ELSE 0 END" for w in words)
+    factor = f"{0.75 + 0.5 * 0.55!r}::DOUBLE"
+    raw = f"{_W(G.EDGE_WEIGHTS)} * CASE WHEN explicit THEN 1.15e0 ELSE 1e0 END * {factor}"
+    hop = lambda i, before: f"h{i} AS (SELECT o AS id, max(score * weight * {0.55**i!r}::DOUBLE) AS score FROM {before} JOIN tv USING (id) WHERE score * weight * {0.55**i!r}::DOUBLE >= 0.05 GROUP BY o)"
+    return f"""{_EDGES}, tp AS (SELECT least(source, target) AS a, greatest(source, target) AS b, max({raw}) AS weight FROM te GROUP BY 1, 2), tv AS (SELECT a AS id, b AS o, weight FROM tp UNION ALL SELECT b, a, weight FROM tp),
+h0 AS (SELECT id, score FROM (SELECT id, (CASE WHEN id = '{name}' THEN 4e0 ELSE 0 END + CASE WHEN t = '{name}' THEN 4e0 WHEN contains(t, '{name}') THEN 2e0 ELSE 0 END + {each}) * {factor} AS score
+  FROM (SELECT id, replace(lower(trim(title, ' ')), ' ', '-') AS t FROM n WHERE title IS NOT NULL)) WHERE score > 0 ORDER BY score DESC, id LIMIT 5), {hop(1, 'h0')}, {hop(2, 'h1')},
+tr AS (SELECT id, round(max(score), 6) AS score, arg_max(hops, (score, -hops))::INT AS hops FROM (SELECT *, 0 AS hops FROM h0 UNION ALL SELECT *, 1 FROM h1 UNION ALL SELECT *, 2 FROM h2) GROUP BY id ORDER BY score DESC, id LIMIT 12)"""
+
+
+_val = lambda k: rf"trim(regexp_extract(block, '(?:\A|\n){k}:[ \t]*([^\r\n]*)', 1), ' ')"
 _CL = _TEXT_SQL["claim_lines"]
 
 SQL = {
+    "typed_ranks": f"WITH {_RANKS(QUERY, WORDS)} SELECT * FROM tr",
     "typed_edges": f"WITH {_EDGES} SELECT source, target, type, explicit, weight FROM tw",
     "one_sided_supersessions": f"""WITH {_EDGES}, k AS (SELECT DISTINCT source, field, target FROM st JOIN names USING (project_id, key) WHERE field IN ('supersedes', 'superseded_by'))
 SELECT * FROM k WHERE NOT EXISTS (SELECT 1 FROM k m WHERE m.source = k.target AND m.target = k.source AND m.field = CASE k.field WHEN 'supersedes' THEN 'superseded_by' ELSE 'supersedes' END)""",
-    "contract_drift": rf"""WITH b AS (SELECT doc_id, regexp_extract(text, '\A---\n((?s:.*?)\n)---(?:\n|\z)', 1) AS block FROM documents WHERE text IS NOT NULL),
+    "contract_drift": rf"""WITH b AS (SELECT doc_id, regexp_extract(text, '{T.FRONT}', 1) AS block FROM documents WHERE text IS NOT NULL),
 v AS (SELECT doc_id, block, {_val('title')} AS title, {_val('type')} AS type, replace(replace({_val('updated')}, '"', ''), '''', '') AS updated, {_val('tags')} AS tags, {_val('sources')} AS sources, regexp_matches(block, '(?:\A|\n)updated:') AS hu FROM b WHERE block <> '')
-SELECT doc_id, 'missing-title' AS finding FROM v WHERE title = '' UNION ALL SELECT doc_id, CASE WHEN type = '' THEN 'missing-type' ELSE 'unknown-type' END FROM v WHERE lower(type) NOT IN {TYPES!r}
+SELECT doc_id, 'missing-frontmatter' AS finding FROM b WHERE block = '' UNION ALL SELECT doc_id, 'missing-title' FROM v WHERE title = '' UNION ALL SELECT doc_id, CASE WHEN type = '' THEN 'missing-type' ELSE 'unknown-type' END FROM v WHERE lower(type) NOT IN {TYPES!r}
 UNION ALL SELECT doc_id, 'bad-date' FROM v WHERE hu AND (NOT regexp_matches(updated, '^[0-9]{{4}}-[0-9]{{2}}-[0-9]{{2}}$') OR try_cast(updated AS DATE) IS NULL)
 UNION ALL SELECT doc_id, 'tags-no-list' FROM v WHERE tags <> '' AND tags NOT LIKE '[%' UNION ALL SELECT doc_id, 'sources-no-list' FROM v WHERE sources <> '' AND sources NOT LIKE '[%'""",
     "crystallize_score": r"""SELECT * FROM (SELECT doc_id, round(CASE WHEN length(text) >= 300 THEN 0.15e0 ELSE 0 END + CASE WHEN length(text) >= 900 THEN 0.15e0 ELSE 0 END + CASE WHEN length(text) >= 1800 THEN 0.1e0 ELSE 0 END + CASE WHEN k >= 3 THEN 0.3e0 WHEN k = 2 THEN 0.22e0 WHEN k = 1 THEN 0.18e0 ELSE 0 END
@@ -147,6 +167,6 @@ SELECT claim, sources, age_days, round(conf, 6) AS confidence, CASE WHEN age_day
   SELECT {_TIER} AS tier, date_diff('day', indexed_at::DATE, DATE '{TODAY}') AS age FROM (SELECT DISTINCT row_id, page_type, indexed_at FROM retrieval_nodes WHERE deleted_at IS NULL AND indexed_at IS NOT NULL))) GROUP BY tier""",
     "search_eval": """SELECT CASE WHEN at_ IS NULL THEN 'missing' WHEN at_ > 5 THEN 'below-top-5' ELSE 'passed' END AS result, count(*) AS searches, sum(hits)::BIGINT AS hits FROM (SELECT query_chunk_id, min(CASE WHEN page_id = split_part(query_chunk_id, '#', 1) THEN place END) AS at_, count(*) AS hits FROM (
   SELECT *, row_number() OVER (PARTITION BY query_chunk_id ORDER BY score DESC, chunk_id, search_id) AS place FROM (SELECT DISTINCT * FROM chunk_search_results WHERE score IS NOT NULL AND query_chunk_id IS NOT NULL)) GROUP BY 1) GROUP BY 1""",
-    "markdown_links": r"""SELECT doc_id, regexp_replace(regexp_replace(text, '\[\[([^\]|\n]+)\|([^\]\n]+)\]\]', '[\2](\1.md)', 'g'), '\[\[([^\]|\n]+)\]\]', '[\1](\1.md)', 'g') AS markdown FROM documents WHERE contains(text, '[[')""",
+    "markdown_links": rf"""SELECT doc_id, array_to_string(list_transform(regexp_extract_all(text, '{T.CODE_OR_TEXT}'), lambda x: CASE WHEN starts_with(x, '`') THEN x ELSE regexp_replace(regexp_replace(x, '{T.LABELLED}', '[\2](#\1)', 'g'), '{T.UNLABELLED}', '[\1](#\1)', 'g') END), '') AS markdown FROM documents WHERE contains(text, '[[')""",
     "findings_by_kind": """SELECT project_id, count(*) FILTER (WHERE s = 'info') AS info, count(*) FILTER (WHERE s = 'warning') AS warning, count(*) FILTER (WHERE s = 'none') AS none FROM (SELECT project_id, coalesce(severity, 'none') AS s FROM (SELECT DISTINCT * FROM lint_results)) GROUP BY project_id""",
 }

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import cached_property
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -14,94 +16,112 @@ def nodes(spark: SparkSession, folder: str) -> DataFrame:
     return G.live_nodes(table(spark, folder, "retrieval_nodes"))
 
 
-def links(spark: SparkSession, folder: str) -> DataFrame:
-    return G.resolved_links(nodes(spark, folder))
+class _Graph:
+    """What a query needs of the link graph, each part resolved once: written, as it is read several times."""
+
+    def __init__(self, spark: SparkSession, folder: str) -> None:
+        self.nodes = written(nodes(spark, folder), "nodes")
+
+    @cached_property
+    def links(self) -> DataFrame:
+        return written(G.resolved_links(self.nodes), "links")
+
+    @cached_property
+    def edges(self) -> DataFrame:
+        return written(G.directed_edges(G.resolved_links(self.nodes)), "edges")
 
+    @cached_property
+    def pairs(self) -> DataFrame:
+        return G.undirected_edges(self.edges)
 
-def edges(spark: SparkSession, folder: str) -> DataFrame:
-    return G.directed_edges(links(spark, folder))
+    @cached_property
+    def relevance(self) -> DataFrame:
+        """Linked pairs with their relevance as weight."""
+        found = G.relevance(self.nodes, self.edges)
+        return written(found.select("a", "b", "direct", "shared_sources", F.round("adamic_adar", 6).alias("adamic_adar"), F.round("relevance", 6).alias("relevance")), "relevance")
+
+    @property
+    def members(self) -> DataFrame:
+        """Communities by directory."""
+        return self.nodes.select("id", "type", F.concat_ws("/", "project_id", F.coalesce(F.regexp_extract("path", r"([^/]+)/[^/]+$", 1), F.lit(""))).alias("community"))
 
 
 def link_resolution(spark: SparkSession, folder: str) -> DataFrame:
-    return links(spark, folder).groupBy("source", "key", "target").agg(F.count("*").alias("times"))
+    return _Graph(spark, folder).links.groupBy("source", "key", "target").agg(F.count("*").alias("times"))
 
 
 def link_degree(spark: SparkSession, folder: str) -> DataFrame:
-    return G.degrees(edges(spark, folder))
+    return G.degrees(_Graph(spark, folder).edges)
 
 
 def undirected_edges(spark: SparkSession, folder: str) -> DataFrame:
-    return G.undirected_edges(edges(spark, folder))
+    return _Graph(spark, folder).pairs
 
 
 def adamic_adar(spark: SparkSession, folder: str) -> DataFrame:
-    return G.adamic_adar(undirected_edges(spark, folder).select("a", "b")).withColumn("adamic_adar", F.round("adamic_adar", 6))
+    return G.adamic_adar(written(_Graph(spark, folder).pairs, "pairs")).withColumn("adamic_adar", F.round("adamic_adar", 6))
 
 
 def relevance_pairs(spark: SparkSession, folder: str) -> DataFrame:
-    n = nodes(spark, folder)
-    found = G.relevance(n, G.directed_edges(G.resolved_links(n)))
-    return found.select("a", "b", "direct", "shared_sources", F.round("adamic_adar", 6).alias("adamic_adar"), F.round("relevance", 6).alias("relevance"))
+    return _Graph(spark, folder).relevance
 
 
 def related_topk(spark: SparkSession, folder: str) -> DataFrame:
-    n = nodes(spark, folder)
-    return G.related(n, G.directed_edges(G.resolved_links(n)), 3).withColumn("relevance", F.round("relevance", 6))
+    g = _Graph(spark, folder)
+    return G.related(g.nodes, g.edges, 3).withColumn("relevance", F.round("relevance", 6))
 
 
 def two_hop_decay(spark: SparkSession, folder: str) -> DataFrame:
     """What is reached from the pages whose title holds "index", by links weighted with a twelfth of their relevance."""
-    seeds = nodes(spark, folder).where(F.contains(F.lower("title"), F.lit("index"))).select("id", F.lit(1.0).alias("score"))
-    pairs = written(relevance_pairs(spark, folder).select("a", "b", (F.col("relevance") / 12).alias("weight")), "pairs")
-    return G.traverse(seeds, pairs).select("id", F.round("score", 6).alias("score"), "hops")
+    g = _Graph(spark, folder)
+    seeds = g.nodes.where(F.contains(F.lower("title"), F.lit("index"))).select("id", F.lit(1.0).alias("score"))
+    return G.traverse(seeds, g.relevance.select("a", "b", (F.col("relevance") / 12).alias("weight"))).select("id", F.round("score", 6).alias("score"), "hops")
 
 
 def graph_filters(spark: SparkSession, folder: str) -> DataFrame:
     """Links whose ends are both visible: of no hidden type, not structural, with at most 40 links."""
-    degree = link_degree(spark, folder)
-    seen = nodes(spark, folder).where(~F.col("type").isin("query", "other") & ~F.col("id").isin(*G.STRUCTURAL)).join(degree.where("link_count <= 40"), "id", "left_semi").select("id")
-    kept = edges(spark, folder).join(seen.withColumnRenamed("id", "source"), "source", "left_semi").join(seen.withColumnRenamed("id", "target"), "target", "left_semi")
+    g = _Graph(spark, folder)
+    degree = G.degrees(g.edges)
+    seen = written(g.nodes.where(~F.col("type").isin("query", "other") & ~F.col("id").isin(*G.STRUCTURAL)).join(degree.where("link_count <= 40"), "id", "left_semi").select("id"), "seen")
+    kept = g.edges.join(seen.withColumnRenamed("id", "source"), "source", "left_semi").join(seen.withColumnRenamed("id", "target"), "target", "left_semi")
     return kept.select("source", "target", "times")
 
 
-def _members(spark: SparkSession, folder: str) -> DataFrame:
-    """Communities by directory."""
-    return nodes(spark, folder).select("id", "type", F.concat_ws("/", "project_id", F.coalesce(F.regexp_extract("path", r"([^/]+)/[^/]+$", 1), F.lit(""))).alias("community"))
-
-
 def surprising_edges(spark: SparkSession, folder: str) -> DataFrame:
-    pairs = relevance_pairs(spark, folder).select("a", "b", F.col("relevance").alias("weight"))
-    return G.surprising(_members(spark, folder), pairs, link_degree(spark, folder))
+    g = _Graph(spark, folder)
+    return G.surprising(g.members, g.relevance.select("a", "b", F.col("relevance").alias("weight")), G.degrees(g.edges))
 
 
 def community_cohesion(spark: SparkSession, folder: str) -> DataFrame:
-    return G.community_stats(_members(spark, folder).select("id", "community"), undirected_edges(spark, folder)).withColumn("cohesion", F.round("cohesion", 6))
+    g = _Graph(spark, folder)
+    return G.community_stats(g.members.select("id", "community"), g.pairs).withColumn("cohesion", F.round("cohesion", 6))
 
 
 def knowledge_gaps(spark: SparkSession, folder: str) -> DataFrame:
     """Isolated pages, sparse communities and bridges between communities."""
-    degree, members = link_degree(spark, folder), _members(spark, folder).select("id", "community")
-    alone = members.where(~F.col("id").isin(*G.STRUCTURAL)).join(degree, "id", "left").where("coalesce(link_count, 0) <= 1").select(F.lit("isolated").alias("gap"), "id")
-    sparse = community_cohesion(spark, folder).where("cohesion < 0.15 and nodes >= 3").select(F.lit("sparse").alias("gap"), F.col("community").alias("id"))
-    bridge = G.bridges(members, undirected_edges(spark, folder)).select(F.lit("bridge").alias("gap"), "id")
+    g = _Graph(spark, folder)
+    members, pairs = g.members.select("id", "community"), written(g.pairs, "pairs")
+    alone = members.where(~F.col("id").isin(*G.STRUCTURAL)).join(G.degrees(g.edges), "id", "left").where("coalesce(link_count, 0) <= 1").select(F.lit("isolated").alias("gap"), "id")
+    cohesion = G.community_stats(members, pairs).withColumn("cohesion", F.round("cohesion", 6))
+    sparse = cohesion.where("cohesion < 0.15 and nodes >= 3").select(F.lit("sparse").alias("gap"), F.col("community").alias("id"))
+    bridge = G.bridges(members, pairs).select(F.lit("bridge").alias("gap"), "id")
     return alone.unionByName(sparse).unionByName(bridge)
 
 
 def page_communities(spark: SparkSession, folder: str) -> DataFrame:
-    pairs = relevance_pairs(spark, folder).select("a", "b", F.col("relevance").alias("weight"))
-    return G.communities(nodes(spark, folder), pairs)
+    g = _Graph(spark, folder)
+    return G.communities(g.nodes, g.relevance.select("a", "b", F.col("relevance").alias("weight")))
 
 
 def lint_findings(spark: SparkSession, folder: str) -> DataFrame:
     """Structural lint: pages without incoming links (orphan), without outgoing ones, and with broken links."""
-    n = nodes(spark, folder)
-    own = links(spark, folder)
-    pages = n.where(~F.col("id").isin(*G.STRUCTURAL)).select("id")
-    linked = own.where("target is not null").select(F.col("target").alias("id")).distinct()
-    linking = own.select(F.col("source").alias("id")).distinct()
+    g = _Graph(spark, folder)
+    pages = g.nodes.where(~F.col("id").isin(*G.STRUCTURAL)).select("id")
+    linked = g.links.where("target is not null").select(F.col("target").alias("id")).distinct()
+    linking = g.links.select(F.col("source").alias("id")).distinct()
     orphan = pages.join(linked, "id", "left_anti").select("id", F.lit("orphan").alias("finding"), F.lit(None).cast("string").alias("detail"))
     silent = pages.join(linking, "id", "left_anti").select("id", F.lit("no-outlinks").alias("finding"), F.lit(None).cast("string").alias("detail"))
-    broken = own.where("target is null").select(F.col("source").alias("id"), F.lit("broken-link").alias("finding"), F.col("key").alias("detail")).distinct()
+    broken = g.links.where("target is null").select(F.col("source").alias("id"), F.lit("broken-link").alias("finding"), F.col("key").alias("detail")).distinct()
     return orphan.unionByName(silent).unionByName(broken)
 
 
@@ -109,7 +129,7 @@ def missing_backlinks(spark: SparkSession, folder: str) -> DataFrame:
     """Links that the target's own list of incoming links lacks."""
     rows = table(spark, folder, "retrieval_nodes").where("deleted_at is null and node_id is not null")
     listed = rows.select(F.col("node_id").alias("target"), F.explode("in_links").alias("source")).where("source is not null").distinct()
-    return edges(spark, folder).select("source", "target").join(listed, ["source", "target"], "left_anti")
+    return _Graph(spark, folder).edges.select("source", "target").join(listed, ["source", "target"], "left_anti")
 
 
 def page_fate(spark: SparkSession, folder: str) -> DataFrame:
@@ -122,7 +142,8 @@ def cascade_delete_refs(spark: SparkSession, folder: str) -> DataFrame:
     """Live pages that link to keys of deleted pages which nothing replaces, and how many links a cascade would take away."""
     rows = table(spark, folder, "retrieval_nodes")
     gone = rows.where("deleted_at is not null and node_id is not null").select("project_id", F.col("node_id").alias("key")).distinct()
-    own = links(spark, folder).where("target is null").join(nodes(spark, folder).select(F.col("id").alias("source"), "project_id"), "source")
+    g = _Graph(spark, folder)
+    own = g.links.where("target is null").join(g.nodes.select(F.col("id").alias("source"), "project_id"), "source")
     return own.join(gone, ["project_id", "key"], "left_semi").groupBy("source").agg(F.count("*").alias("removed"))
 
 
@@ -156,7 +177,7 @@ names AS (SELECT project_id, key, arg_min(id, (rank, id)) AS target FROM (SELECT
 l AS (SELECT k.source, k.key, names.target FROM (SELECT id AS source, project_id, {_KEY.format('link')} AS key FROM (SELECT *, unnest(out_links) AS link FROM n)) k LEFT JOIN names ON names.project_id = k.project_id AND names.key = k.key WHERE k.key IS NOT NULL),
 e AS (SELECT source, target, count(*) AS times FROM l WHERE target IS NOT NULL AND source <> target GROUP BY ALL),
 u AS (SELECT least(source, target) AS a, greatest(source, target) AS b, count(*) AS directions, sum(times)::BIGINT AS links FROM e GROUP BY 1, 2),
-w AS (SELECT a AS id, b AS other FROM u UNION ALL SELECT b, a FROM u), dg AS (SELECT id, count(*) AS d FROM w GROUP BY id),
+w AS (SELECT a AS id, b AS other, directions FROM u UNION ALL SELECT b, a, directions FROM u), dg AS (SELECT id, sum(directions) AS d FROM w GROUP BY id),
 deg AS (SELECT id, sum(o)::BIGINT AS out_count, sum(i)::BIGINT AS in_count, sum(o + i)::BIGINT AS link_count FROM (SELECT source AS id, times AS o, 0 AS i FROM e UNION ALL SELECT target, 0, times FROM e) GROUP BY id),
 aa AS (SELECT u.a, u.b, count(*) AS common, sum(1e0 / ln(greatest(dg.d, 2)::DOUBLE)) AS aa FROM u JOIN w x ON x.id = u.a JOIN w y ON y.id = u.b AND y.other = x.other JOIN dg ON dg.id = x.other GROUP BY ALL),
 aff AS (SELECT * FROM (VALUES {', '.join(f"('{a}', '{b}', {v}e0)" for a, row in G.AFFINITY.items() for b, v in row.items())}) t(ta, tb, v)),
@@ -172,7 +193,10 @@ SQL = {
     "undirected_edges": f"WITH {_BASE} SELECT * FROM u",
     "adamic_adar": f"WITH {_BASE} SELECT a, b, common, round(aa, 6) AS adamic_adar FROM aa",
     "relevance_pairs": f"WITH {_BASE} SELECT * FROM rel",
-    "related_topk": f"WITH {_BASE} SELECT id, other, relevance, place::INT AS place FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY relevance DESC, other) AS place FROM (SELECT a AS id, b AS other, relevance FROM rel UNION ALL SELECT b, a, relevance FROM rel)) WHERE place <= 3",
+    "related_topk": f"""WITH {_BASE}, cn AS (SELECT x.id, y.id AS other, sum(1e0 / ln(greatest(dg.d, 2)::DOUBLE)) AS aa FROM w x JOIN w y ON x.other = y.other AND x.id <> y.id JOIN dg ON dg.id = x.other GROUP BY ALL),
+ap AS (SELECT p.id, q.id AS other, round(3e0 * coalesce(w.directions, 0) + 4e0 * len(list_intersect(p.sources, q.sources)) + 1.5e0 * coalesce(cn.aa, 0e0) + coalesce(aff.v, 0.5e0), 6) AS relevance
+  FROM n p JOIN n q ON coalesce(p.project_id, '') = coalesce(q.project_id, '') AND p.id <> q.id LEFT JOIN w ON w.id = p.id AND w.other = q.id LEFT JOIN cn ON cn.id = p.id AND cn.other = q.id LEFT JOIN aff ON aff.ta = p.type AND aff.tb = q.type)
+SELECT id, other, relevance, place::INT AS place FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY relevance DESC, other) AS place FROM ap) WHERE place <= 3""",
     "two_hop_decay": f"""WITH {_BASE}, v AS (SELECT a AS id, b AS other, relevance / 12 AS weight FROM rel UNION ALL SELECT b, a, relevance / 12 FROM rel), h0 AS (SELECT id, 1e0 AS score FROM n WHERE contains(lower(title), 'index')),
 h1 AS (SELECT other AS id, max(score * weight * 0.55e0) AS score FROM h0 JOIN v USING (id) WHERE score * weight * 0.55e0 >= 0.05 GROUP BY other), h2 AS (SELECT other AS id, max(score * weight * {0.55**2!r}::DOUBLE) AS score FROM h1 JOIN v USING (id) WHERE score * weight * {0.55**2!r}::DOUBLE >= 0.05 GROUP BY other)
 SELECT id, round(max(score), 6) AS score, arg_max(hops, (score, -hops))::INT AS hops FROM (SELECT *, 0 AS hops FROM h0 UNION ALL SELECT *, 1 FROM h1 UNION ALL SELECT *, 2 FROM h2) GROUP BY id""",

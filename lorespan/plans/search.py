@@ -8,11 +8,16 @@ from pyspark.sql import functions as F
 
 from lorespan.functions import text as T
 from lorespan.operators import search as S
-from lorespan.plans.text import _TITLE, sql_tokens
-from lorespan.session import table
+from lorespan.plans.claims import _RANKS, ranked_pages
+from lorespan.plans.text import _BODY, _FRONT, _TITLE, sql_tokens
+from lorespan.session import table, written
 
 QUERY = "retrieval index claim"
-WORDS = QUERY.split()
+#: The words of the query (:func:`T.query_tokens`); a query of stop words alone is one word.
+WORDS = ["retrieval", "index", "claim"]
+
+#: Results of a search, pages of its vector and graph streams, and chunks fetched for the former.
+RESULTS, VECTOR_PAGES, GRAPH_PAGES, FETCHED = 20, 10, 12, 30
 
 
 def pages(spark: SparkSession, folder: str) -> DataFrame:
@@ -20,7 +25,21 @@ def pages(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def _fields() -> dict:
-    return {"filename": T.file_stem(F.col("page_path")), "title": T.page_title(F.col("text"), F.col("page_path")), "body": F.col("text")}
+    text, path = F.col("text"), F.col("page_path")
+    front = T.front_matter(text)
+    return {
+        "filename": T.file_stem(path), "title": T.page_title(text, path), "body": T.page_body(text),
+        "aliases": F.array_join(T.front_entries(front, "alias", "aliases"), " "), "keywords": F.array_join(T.front_entries(front, "keywords", "tags"), " "),
+    }
+
+
+FIELDS = list(S.FIELD_WEIGHTS)
+
+
+def _counted(spark: SparkSession, folder: str) -> DataFrame:
+    """One pass over the texts: per page its lexical score, its name, and the counts that BM25 needs."""
+    rows = pages(spark, folder)
+    return written(rows.select("doc_id", T.file_stem(F.col("page_path")).alias("page"), S.lexical(QUERY, WORDS).alias("lexical"), *S.bm25_counts(_fields(), WORDS)), "counted")
 
 
 def bm25_stats(spark: SparkSession, folder: str) -> DataFrame:
@@ -28,7 +47,7 @@ def bm25_stats(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def bm25_scores(spark: SparkSession, folder: str) -> DataFrame:
-    return S.bm25(pages(spark, folder), _fields(), WORDS).select("doc_id", F.round("score", 6).alias("score"))
+    return S.bm25(_counted(spark, folder), FIELDS, WORDS).select("doc_id", F.round("score", 6).alias("score"))
 
 
 def bm25_topk(spark: SparkSession, folder: str) -> DataFrame:
@@ -36,19 +55,35 @@ def bm25_topk(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def bm25_explain(spark: SparkSession, folder: str) -> DataFrame:
-    scored = S.bm25(pages(spark, folder), _fields(), WORDS)
+    scored = S.bm25(_counted(spark, folder), FIELDS, WORDS)
     return scored.select("doc_id", F.explode("by_field").alias("field", "part")).select("doc_id", "field", F.round("part", 6).alias("part"))
 
 
 def lexical_score(spark: SparkSession, folder: str) -> DataFrame:
-    return S.lexical(pages(spark, folder), QUERY, WORDS)
+    return pages(spark, folder).select("doc_id", S.lexical(QUERY, WORDS).alias("score")).where("score > 0")
+
+
+def vector_pages(spark: SparkSession, folder: str) -> DataFrame:
+    """Pages by their chunks nearest to a query vector, that of the first chunk whose id names an index: ``page``, ``score``, ``place``."""
+    rows = table(spark, folder, "chunk_vectors").where(F.expr("size(embedding) = 64 and not exists(embedding, x -> x is null or isnan(x) or abs(x) = double('infinity'))"))
+    latest = written(rows.groupBy("chunk_id").agg(F.max(F.struct("upserted_at", "embedding"))["embedding"].cast("array<double>").alias("v")), "latest")
+    query = latest.where(F.contains("chunk_id", F.lit("index"))).agg(F.min_by("v", "chunk_id").alias("q"))
+    hits = S.nearest_to(latest, query, FETCHED).select(F.substring_index("chunk_id", "#", 1).alias("page"), "score")
+    return S.pooled(hits, "page").select("page", F.round("page_score", 6).alias("score")).orderBy(F.desc("score"), "page").limit(VECTOR_PAGES)
 
 
 def rrf_search(spark: SparkSession, folder: str) -> DataFrame:
-    rows = pages(spark, folder)
-    scores = S.bm25(rows, _fields(), WORDS).select("doc_id", F.round("score", 6).alias("score"))
-    fused = S.fuse([S.ranked(S.lexical(rows, QUERY, WORDS), "lexical"), S.ranked(scores, "bm25")])
-    return fused.select("doc_id", F.round("score", 8).alias("score"), F.col("places")["lexical"].cast("int").alias("lexical_place"), F.col("places")["bm25"].cast("int").alias("bm25_place")).orderBy(F.desc("score"), "doc_id").limit(20)
+    """The best pages of four streams: words (the lexical score, or BM25 where that finds nothing), vectors, and typed links."""
+    counted = _counted(spark, folder)
+    scores = S.bm25(counted, FIELDS, WORDS).select("doc_id", F.round("score", 6).alias("score"))
+    streams = [S.ranked(counted.where("lexical > 0").select("doc_id", F.col("lexical").alias("score")), "lexical"), S.ranked(scores, "bm25")]
+    for name, found in (("vector", vector_pages(spark, folder)), ("graph", ranked_pages(spark, folder, QUERY, WORDS).select(F.col("id").alias("page"), "score"))):
+        place = F.row_number().over(W.orderBy(F.desc("score"), "page"))  # a dozen rows
+        few = written(found.select("page", F.lit(name).alias("stream"), place.cast("long").alias("place")), name)
+        streams.append(counted.select("doc_id", "page").join(F.broadcast(few), "page").select("doc_id", "stream", "place"))
+    fused = S.fuse(streams, instead={"bm25": "lexical"})
+    places = [F.col("places")[name].cast("int").alias(f"{name}_place") for name in ("lexical", "bm25", "vector", "graph")]
+    return fused.select("doc_id", F.round("score", 8).alias("score"), *places).orderBy(F.desc("score"), "doc_id").limit(RESULTS)
 
 
 def knn_l2(spark: SparkSession, folder: str) -> DataFrame:
@@ -94,16 +129,18 @@ def context_budget_pack(spark: SparkSession, folder: str) -> DataFrame:
     return listed.select("query_chunk_id", fold.alias("f")).select("query_chunk_id", F.size("f.taken").alias("pages"), (F.lit(600) - F.col("f.left")).alias("used"))
 
 
-QUERIES = {f.__name__: f for f in (bm25_stats, bm25_scores, bm25_topk, bm25_explain, lexical_score, rrf_search, knn_l2, knn_cosine, chunk_pool_pages, search_score_check, context_budget_pack)}
+QUERIES = {f.__name__: f for f in (bm25_stats, bm25_scores, bm25_topk, bm25_explain, lexical_score, rrf_search, vector_pages, knn_l2, knn_cosine, chunk_pool_pages, search_score_check, context_budget_pack)}
 
 _P = "p AS (SELECT doc_id, text, page_path FROM documents WHERE text IS NOT NULL)"
 _STEM = r"regexp_replace(regexp_replace(page_path, '^.*/', ''), '\.md$', '')"
-_TOKENS = f"""{_P}, t AS (SELECT doc_id, 'filename' AS field, unnest({sql_tokens(_STEM)}) AS token FROM p WHERE page_path IS NOT NULL
-  UNION ALL SELECT doc_id, 'title', unnest({sql_tokens('title')}) FROM (SELECT *, {_TITLE} AS title FROM p) UNION ALL SELECT doc_id, 'body', unnest({sql_tokens('text')}) FROM p)"""
+_entries = lambda *names: f"SELECT doc_id, unnest({sql_tokens('value')}) AS token FROM (SELECT doc_id, string_agg(value, ' ' ORDER BY line, pos) AS value FROM (SELECT doc_id, line, unnest(entries) AS value, unnest(generate_series(1, len(entries))) AS pos FROM fm WHERE lower(field) IN {names!r}) GROUP BY doc_id)"
+_TOKENS = f"""{_P}, {_FRONT}, t AS (SELECT doc_id, 'filename' AS field, unnest({sql_tokens(_STEM)}) AS token FROM p WHERE page_path IS NOT NULL
+  UNION ALL SELECT doc_id, 'title', unnest({sql_tokens('title')}) FROM (SELECT *, {_TITLE} AS title FROM p) UNION ALL SELECT doc_id, 'body', unnest({sql_tokens('text')}) FROM (SELECT doc_id, {_BODY} AS text FROM p)
+  UNION ALL SELECT doc_id, 'aliases', token FROM ({_entries('alias', 'aliases')}) UNION ALL SELECT doc_id, 'keywords', token FROM ({_entries('keywords', 'tags')}))"""
 _BM25 = f"""{_TOKENS}, q AS (SELECT unnest({WORDS!r}) AS token),
 len AS (SELECT doc_id, field, count(*) AS length FROM t GROUP BY ALL), tf AS (SELECT doc_id, field, token, count(*) AS tf FROM t JOIN q USING (token) GROUP BY ALL),
 df AS (SELECT field, token, count(*) AS df FROM tf GROUP BY ALL), av AS (SELECT field, sum(length) / (SELECT count(*) FROM p)::DOUBLE AS av FROM len GROUP BY field),
-parts AS (SELECT doc_id, field, CASE field WHEN 'filename' THEN 4e0 WHEN 'title' THEN 3e0 ELSE 1e0 END * sum(ln(1e0 + (n.n - df + 0.5e0) / (df + 0.5e0)) * (tf * 2.2e0) / (tf + 1.2e0 * (0.25e0 + 0.75e0 * length / av))) AS part
+parts AS (SELECT doc_id, field, CASE field {' '.join(f"WHEN '{f}' THEN {w}e0" for f, w in S.FIELD_WEIGHTS.items())} END * sum(ln(1e0 + (n.n - df + 0.5e0) / (df + 0.5e0)) * (tf * 2.2e0) / (tf + 1.2e0 * (0.25e0 + 0.75e0 * length / av))) AS part
   FROM tf JOIN df USING (field, token) JOIN len USING (doc_id, field) JOIN av USING (field), (SELECT count(*) AS n FROM p) n GROUP BY doc_id, field),
 bm AS (SELECT doc_id, round(sum(part), 6) AS score FROM parts GROUP BY doc_id)"""
 _any = lambda where: " + ".join(f"contains({where}, '{w}')::INT" for w in WORDS)
@@ -112,14 +149,22 @@ _LEX = f"""lex AS (SELECT * FROM (SELECT doc_id, (coalesce((stem = '{QUERY}')::I
 _KNN = lambda d: f"""SELECT query, vec_id, round(distance, 6) AS distance, place::INT AS place FROM (SELECT *, row_number() OVER (PARTITION BY query ORDER BY distance, vec_id) AS place FROM (SELECT q.vec_id AS query, e.vec_id, {d} AS distance
   FROM embeddings e JOIN (SELECT * FROM embeddings WHERE vec_id % 100 = 0) q ON e.vec_id <> q.vec_id)) WHERE place <= 10"""
 
+_VEC = """lv AS (SELECT chunk_id, arg_max(embedding::DOUBLE[], upserted_at) AS v FROM chunk_vectors WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 GROUP BY chunk_id),
+vh AS (SELECT split_part(chunk_id, '#', 1) AS page, score FROM (SELECT chunk_id, round(1 / (1 + list_distance(v, (SELECT arg_min(v, chunk_id) FROM lv WHERE contains(chunk_id, 'index')))), 9) AS score FROM lv ORDER BY score DESC, chunk_id LIMIT 30)),
+vec AS (SELECT page, round(max(score) + least(0.3e0 * (sum(score) - max(score)), greatest(0, 1 - max(score))), 6) AS score FROM vh GROUP BY page ORDER BY score DESC, page LIMIT 10)"""
+
 SQL = {
     "bm25_stats": f"WITH {_TOKENS} SELECT field, token, count(DISTINCT doc_id) AS df FROM t GROUP BY ALL",
     "bm25_scores": f"WITH {_BM25} SELECT * FROM bm",
     "bm25_topk": f"WITH {_BM25} SELECT * FROM bm ORDER BY score DESC, doc_id LIMIT 20",
     "bm25_explain": f"WITH {_BM25} SELECT doc_id, field, round(part, 6) AS part FROM parts",
     "lexical_score": f"WITH {_P}, {_LEX} SELECT * FROM lex",
-    "rrf_search": f"""WITH {_BM25}, {_LEX}, a AS (SELECT doc_id, row_number() OVER (ORDER BY score DESC, doc_id) AS place FROM lex ORDER BY place LIMIT 100), b AS (SELECT doc_id, row_number() OVER (ORDER BY score DESC, doc_id) AS place FROM bm ORDER BY place LIMIT 100)
-SELECT doc_id, round(coalesce(1e0 / (60 + a.place), 0) + coalesce(1e0 / (60 + b.place), 0), 8) AS score, a.place::INT AS lexical_place, b.place::INT AS bm25_place FROM a FULL JOIN b USING (doc_id) ORDER BY score DESC, doc_id LIMIT 20""",
+    "vector_pages": f"WITH {_VEC} SELECT page, score FROM vec",
+    "rrf_search": f"""WITH {_BM25}, {_LEX}, {_VEC}, {_RANKS(QUERY, WORDS)}, sp AS (SELECT doc_id, {_STEM} AS page FROM p),
+x AS (SELECT doc_id, 'l' AS stream, row_number() OVER (ORDER BY score DESC, doc_id) AS place FROM lex UNION ALL SELECT doc_id, 'b', row_number() OVER (ORDER BY score DESC, doc_id) FROM bm
+  UNION ALL SELECT doc_id, 'v', place FROM sp JOIN (SELECT page, row_number() OVER (ORDER BY score DESC, page) AS place FROM vec) USING (page) UNION ALL SELECT doc_id, 'g', place FROM sp JOIN (SELECT id AS page, row_number() OVER (ORDER BY score DESC, id) AS place FROM tr) USING (page)),
+y AS (SELECT doc_id, max(place) FILTER (WHERE stream = 'l') AS l, max(place) FILTER (WHERE stream = 'b') AS b, max(place) FILTER (WHERE stream = 'v') AS v, max(place) FILTER (WHERE stream = 'g') AS g FROM x GROUP BY doc_id)
+SELECT doc_id, round(coalesce(1e0 / (60 + coalesce(l, b)), 0) + coalesce(1e0 / (60 + v), 0) + coalesce(1e0 / (60 + g), 0), 8) AS score, l::INT AS lexical_place, b::INT AS bm25_place, v::INT AS vector_place, g::INT AS graph_place FROM y ORDER BY score DESC, doc_id LIMIT 20""",
     "knn_l2": _KNN("list_distance(e.embedding::DOUBLE[], q.embedding::DOUBLE[])"),
     "knn_cosine": _KNN("1 - list_cosine_similarity(e.embedding::DOUBLE[], q.embedding::DOUBLE[])"),
     "chunk_pool_pages": """SELECT query_chunk_id, page_id, page_score, chunks, row_number() OVER (PARTITION BY query_chunk_id ORDER BY page_score DESC, page_id)::INT AS place FROM (

@@ -52,8 +52,9 @@ def title_slugs(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def fnv_ids(spark: SparkSession, folder: str) -> DataFrame:
-    slugs = table(spark, folder, "entity_summaries").where("slug is not null").select("slug").distinct()
-    return slugs.select("slug", T.fnv36(F.col("slug")).alias("id"))
+    rows = table(spark, folder, "entity_summaries")
+    names = rows.select(F.explode(F.array("slug", "title")).alias("name")).where("name is not null").distinct()
+    return names.select("name", T.fnv36(F.col("name")).alias("id"))
 
 
 def content_hash(spark: SparkSession, folder: str) -> DataFrame:
@@ -82,11 +83,15 @@ def claim_lines(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def front_matter_fields(spark: SparkSession, folder: str) -> DataFrame:
-    """Scalar and inline-list fields of front matters that open the text; how many documents have each, and distinct values."""
-    block = F.regexp_extract("text", r"\A---\n((?s:.*?)\n)---(?:\n|\z)", 1)
-    lines = documents(spark, folder).select("doc_id", F.explode(F.regexp_extract_all(block, F.lit(r"([^\n]*)\n"), F.lit(1))).alias("line"))
-    fields = lines.select("doc_id", F.lower(F.regexp_extract("line", r"^([A-Za-z_]+):", 1)).alias("field"), F.trim(F.regexp_extract("line", r"^[A-Za-z_]+:(.*)$", 1)).alias("value")).where("field <> ''")
-    return fields.groupBy("field").agg(F.countDistinct("doc_id").alias("docs"), F.countDistinct("value").alias("distinct_values"), F.count_if(F.col("value").startswith("[")).alias("lists"))
+    """Fields of front matters: how many documents have each, its entries, and how often it is a list of several."""
+    fields = documents(spark, folder).select("doc_id", F.explode(T.front_matter(F.col("text"))).alias("f")).select("doc_id", F.lower("f.field").alias("field"), F.size("f.entries").alias("n"))
+    return fields.groupBy("field").agg(F.countDistinct("doc_id").alias("docs"), F.sum("n").alias("entries"), F.count_if(F.col("n") > 1).alias("lists"))
+
+
+def front_matter_values(spark: SparkSession, folder: str) -> DataFrame:
+    """Every entry of every field of the front matters, in order."""
+    fields = documents(spark, folder).select("doc_id", F.posexplode(T.front_matter(F.col("text"))).alias("line", "f"))
+    return fields.select("doc_id", "line", "f.field", F.posexplode("f.entries").alias("place", "value"))
 
 
 def page_quality(spark: SparkSession, folder: str) -> DataFrame:
@@ -107,7 +112,7 @@ def page_quality(spark: SparkSession, folder: str) -> DataFrame:
 
 def slides(spark: SparkSession, folder: str) -> DataFrame:
     """Pages cut into slides at second-level headings."""
-    body = F.regexp_replace("text", r"\A---\n(?s:.*?)\n---\n", "")
+    body = T.page_body(F.col("text"))
     parts = F.split(F.concat(F.lit("\n"), body), r"\n## ")
     return documents(spark, folder).where(F.contains("text", F.lit("\n## "))).select("doc_id", F.posexplode(parts).alias("slide", "content")).select("doc_id", "slide", F.length("content").alias("n_chars"))
 
@@ -125,7 +130,7 @@ def link_keys(spark: SparkSession, folder: str) -> DataFrame:
     return links.groupBy(reference_key(F.col("link")).alias("target")).agg(F.count("*").alias("times"), F.countDistinct("link").alias("spellings")).where("target is not null")
 
 
-QUERIES = {f.__name__: f for f in (token_frequency, page_titles, snippets, phrase_occurrences, document_links, image_refs, redacted_documents, title_slugs, fnv_ids, content_hash, script_counts, language_check, network_links, claim_lines, front_matter_fields, page_quality, slides, table_exports, link_keys)}
+QUERIES = {f.__name__: f for f in (token_frequency, page_titles, snippets, phrase_occurrences, document_links, image_refs, redacted_documents, title_slugs, fnv_ids, content_hash, script_counts, language_check, network_links, claim_lines, front_matter_fields, front_matter_values, page_quality, slides, table_exports, link_keys)}
 
 _STOP = "[" + ", ".join(f"'{w}'" for w in T.STOP_WORDS) + "]"
 _BREAK = T.CORPUS_BREAK.replace("''", "''''")
@@ -149,6 +154,25 @@ _OTHERS = {"hangul": _CLASSES["hangul"], "arabic": _CLASSES["arabic"], "cyrillic
 _KEY = r"""CASE WHEN {0} NOT LIKE '%://%' THEN nullif(trim(regexp_replace(regexp_replace(lower(regexp_replace(trim(regexp_replace(
   regexp_replace(trim({0}, ' '), '^\[\[(.*)\]\]$', '\1', 's'), '[|#].*', '', 's'), ' '), '^.*/', '', 's')), '\.md$', ''), '[ _-]+', '-', 'g'), '-'), '') END"""
 
+
+
+def _safe(text: str) -> str:
+    for pattern, safe in T.SECRETS:
+        text = f"""regexp_replace({text}, '{pattern.replace("'", "''")}', '{safe.replace("$1", chr(92) + "1")}', 'g')"""
+    return text
+
+
+_blank = "' ' || chr(9) || chr(13)"
+sql_bare = lambda x: rf"""trim(regexp_replace(trim({x}, {_blank}), '(?s)\A(?:"(.*)"|''(.*)'')\z', '\1\2'), {_blank})"""
+_list = lambda x: f"list_transform(string_split({x}, ','), lambda e: {sql_bare('e')})"
+_part = lambda i: f"regexp_extract_all(regexp_extract(text, '{T.FRONT}', 1), '{T.ENTRY}', {i})"
+_BODY = f"regexp_replace(text, '{T.FRONT}', '')"
+#: fm: the fields of every document's front matter, with their entries.
+_FRONT = rf"""fz AS (SELECT doc_id, field, value, items, pos AS line FROM (SELECT doc_id, unnest(f) AS field, unnest(v) AS value, unnest(i) AS items, unnest(generate_series(1, len(f))) AS pos
+  FROM (SELECT doc_id, {_part(1)} AS f, {_part(2)} AS v, {_part(3)} AS i FROM {_D}))),
+fm AS (SELECT doc_id, line, field, list_filter(CASE WHEN v = '' THEN list_transform(regexp_extract_all(items, '-([^\n]*)', 1), lambda e: {sql_bare('e')}) WHEN regexp_matches(v, '{T.BARE_LINKS}') THEN {_list('v')}
+  WHEN v LIKE '[%]' AND v NOT LIKE '[[%' THEN {_list('v[2:-2]')} ELSE [{sql_bare('v')}] END, lambda e: e <> '') AS entries FROM (SELECT *, trim(value, {_blank}) AS v FROM fz))"""
+
 SQL = {
     "token_frequency": f"SELECT token, sum(n)::BIGINT AS occurrences, count(*) AS docs FROM (SELECT doc_id, token, count(*) AS n FROM (SELECT doc_id, unnest({sql_tokens('text')}) AS token FROM {_D}) GROUP BY ALL) GROUP BY token",
     "page_titles": f"SELECT doc_id, {_TITLE} AS title FROM {_D}",
@@ -158,14 +182,11 @@ SQL = {
     "phrase_occurrences": f"SELECT * FROM (SELECT doc_id, ((length(text) - length(replace(lower(text), '{PHRASE}', ''))) // {len(PHRASE)})::INT AS occurrences FROM {_D} WHERE length(lower(text)) = length(text)) WHERE occurrences > 0",
     "document_links": rf"SELECT doc_id, link, count(*) AS times FROM (SELECT doc_id, trim(unnest(regexp_extract_all(text, '\[\[([^\]|]+)(?:\|[^\]]+)?\]\]', 1)), ' ') AS link FROM {_D}) GROUP BY ALL",
     "image_refs": rf"SELECT doc_id, (pos - 1)::INT AS place, urls[pos] AS url FROM (SELECT doc_id, list_distinct_keep AS urls, unnest(generate_series(1, len(list_distinct_keep))) AS pos FROM (SELECT doc_id, list_filter(u, lambda x, i: list_position(u, x) = i) AS list_distinct_keep FROM (SELECT doc_id, regexp_extract_all(text, '!\[[^\]]*\]\(([^)\s]+)\)', 1) AS u FROM {_D})))",
-    "redacted_documents": rf"""SELECT * FROM (SELECT doc_id, regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(text,
-  '<private(?:[ \t\n][^>]*)?>.*?</private>', '<private>[REDACTED:private]</private>', 'gis'), '([a-z][a-z0-9+.\-]*://)([^/\s@]+@)', '\1[REDACTED:secret]@', 'gi'),
-  '(Authorization\s*:\s*Bearer\s+)([A-Za-z0-9._~+/=\-]{{8,}})', '\1[REDACTED:secret]', 'gi'),
-  '((?:[A-Za-z0-9_.\-]*)(?:api[_\-]?key|token|secret|password|passwd)[A-Za-z0-9_.\-]*\s*[:=]\s*)([^\s"'',`<>]+)', '\1[REDACTED:secret]', 'gi'),
-  '(?:sk-[A-Za-z0-9_\-]{{10,}}|ghp_[A-Za-z0-9_]{{20,}}|xox[baprs]-[A-Za-z0-9\-]{{10,}})', '[REDACTED:secret]', 'g') AS safe FROM {_D}) WHERE contains(safe, '[REDACTED')""",
+    "redacted_documents": f"SELECT * FROM (SELECT doc_id, {_safe('text')} AS safe FROM {_D}) WHERE contains(safe, '[REDACTED')",
     "title_slugs": r"""SELECT DISTINCT summary_id, coalesce(nullif(trim(substring(regexp_replace(trim(regexp_replace(regexp_replace(lower(title), '[\s]+', '-', 'g'), '[^\p{L}\p{N}\-]+', '', 'g'), '-'), '-+', '-', 'g'), 1, 50), '-'), ''), 'query') AS name FROM entity_summaries WHERE title IS NOT NULL""",
-    "fnv_ids": """WITH h AS (SELECT slug, list_reduce([2166136261::BIGINT] || list_transform(generate_series(1, length(slug)), lambda i: ascii(substring(slug, i, 1))::BIGINT), lambda h, b: (xor(h, b) * 16777619) & 4294967295) AS v FROM (SELECT DISTINCT slug FROM entity_summaries WHERE slug IS NOT NULL))
-SELECT slug, coalesce(nullif(ltrim(list_aggregate(list_transform(range(6, -1, -1), lambda e: substring('0123456789abcdefghijklmnopqrstuvwxyz', ((v // (36::BIGINT ** e)::BIGINT) % 36)::INT + 1, 1)), 'string_agg', ''), '0'), ''), '0') AS id FROM h""",
+    "fnv_ids": """WITH h AS (SELECT name, list_reduce([2166136261::BIGINT] || list_transform(generate_series(1, length(name)), lambda i: ascii(substring(name, i, 1))::BIGINT), lambda h, b: (xor(h, b) * 16777619) & 4294967295) AS v
+  FROM (SELECT slug AS name FROM entity_summaries WHERE slug IS NOT NULL UNION SELECT title FROM entity_summaries WHERE title IS NOT NULL))
+SELECT name, coalesce(nullif(ltrim(list_aggregate(list_transform(range(6, -1, -1), lambda e: substring('0123456789abcdefghijklmnopqrstuvwxyz', ((v // (36::BIGINT ** e)::BIGINT) % 36)::INT + 1, 1)), 'string_agg', ''), '0'), ''), '0') AS id FROM h""",
     "content_hash": f"SELECT sha256(text) AS hash, count(*) AS copies, min(doc_id) AS first_doc FROM {_D} GROUP BY text HAVING count(*) > 1",
     "script_counts": f"""SELECT lang, script, count(*) AS docs, {', '.join(f'sum({k})::BIGINT AS {k}' for k in _CLASSES)} FROM (SELECT lang, {', '.join(f'{k}' for k in _CLASSES)},
   CASE WHEN kana > 0 AND kana + han >= 2 THEN 'Japanese' WHEN most < 2 THEN 'Latin' WHEN han = most THEN 'Chinese' {' '.join(f"WHEN {k} = most THEN '{k.capitalize()}'" for k in _OTHERS)} END AS script
@@ -178,15 +199,14 @@ SELECT slug, coalesce(nullif(ltrim(list_aggregate(list_transform(range(6, -1, -1
   FROM (SELECT *, lower(regexp_extract(link, '^[A-Za-z][A-Za-z0-9+.\-]*://(?:[^/@]*@)?([^/:?#]+)', 1)) AS host FROM (SELECT DISTINCT row_id, link FROM (SELECT row_id, unnest(out_links) AS link FROM retrieval_nodes) WHERE link LIKE '%://%'))) GROUP BY kind""",
     "claim_lines": rf"""SELECT doc_id, (pos - 1)::INT AS place, c[pos] AS claim FROM (SELECT doc_id, c, unnest(generate_series(1, least(len(c), 8))) AS pos FROM (SELECT doc_id, list_filter(l, lambda x, i: list_position(l, x) = i) AS c FROM (
   SELECT doc_id, list_filter(list_transform(string_split(text, chr(10)), lambda x: trim(regexp_replace(x, '^[ \t]*(?:[-*+]|[0-9]+\.)[ \t]+', ''), ' ')), lambda x: length(x) >= 32 AND regexp_matches(lower(x), '(decid|because|therefore|should|must|lesson|conclu|confirm|结论|决定|因为|应该|必须)')) AS l FROM {_D})))""",
-    "front_matter_fields": rf"""SELECT field, count(DISTINCT doc_id) AS docs, count(DISTINCT value) AS distinct_values, count_if(value LIKE '[%')::BIGINT AS lists FROM (
-  SELECT doc_id, lower(regexp_extract(line, '^([A-Za-z_]+):', 1)) AS field, trim(regexp_extract(line, '^[A-Za-z_]+:(.*)$', 1), ' ') AS value FROM (
-  SELECT doc_id, unnest(regexp_extract_all(regexp_extract(text, '\A---\n((?s:.*?)\n)---(?:\n|\z)', 1), '([^\n]*)\n', 1)) AS line FROM {_D})) WHERE field <> '' GROUP BY field""",
+    "front_matter_fields": f"WITH {_FRONT} SELECT lower(field) AS field, count(DISTINCT doc_id) AS docs, sum(len(entries))::BIGINT AS entries, count(*) FILTER (WHERE len(entries) > 1) AS lists FROM fm GROUP BY 1",
+    "front_matter_values": f"WITH {_FRONT} SELECT doc_id, (line - 1)::INT AS line, field, (pos - 1)::INT AS place, entries[pos] AS value FROM (SELECT *, unnest(generate_series(1, len(entries))) AS pos FROM fm)",
     "page_quality": rf"""SELECT *, round((structure * 25 + citation * 25 + relation * 20 + retrieval * 15 + governance * 15) / 100, 4) AS score FROM (SELECT doc_id,
   round((regexp_matches(text, '(?:\A|\n)# ')::INT + regexp_matches(text, '(?:\A|\n)## ')::INT + (length(text) >= 200)::INT + regexp_matches(text, '\A---\n')::INT) / 4.0::DOUBLE, 2) AS structure,
   round(regexp_matches(text, '\nsources:[ \t]*\[[^\]\n]')::INT * 1.0::DOUBLE, 2) AS citation, round(least(len(regexp_extract_all(text, '\[\[([^\]|]+)(?:\|[^\]]+)?\]\]', 1)), 5) / 5.0::DOUBLE, 2) AS relation,
   round((regexp_matches(text, '\ntitle:[ \t]*[^ \n]')::INT + regexp_matches(text, '\ntags:[ \t]*\[[^\]\n]')::INT) / 2.0::DOUBLE, 2) AS retrieval,
   round((regexp_matches(text, '\nupdated:[ \t]*[0-9]{{4}}-[0-9]{{2}}-[0-9]{{2}}')::INT + regexp_matches(text, '\ntype:[ \t]*[^ \n]')::INT) / 2.0::DOUBLE, 2) AS governance FROM {_D})""",
-    "slides": rf"SELECT doc_id, (pos - 1)::INT AS slide, length(p[pos])::INT AS n_chars FROM (SELECT doc_id, p, unnest(generate_series(1, len(p))) AS pos FROM (SELECT doc_id, string_split(chr(10) || regexp_replace(text, '\A---\n(?s:.*?)\n---\n', ''), chr(10) || '## ') AS p FROM {_D} WHERE contains(text, chr(10) || '## ')))",
+    "slides": f"SELECT doc_id, (pos - 1)::INT AS slide, length(p[pos])::INT AS n_chars FROM (SELECT doc_id, p, unnest(generate_series(1, len(p))) AS pos FROM (SELECT doc_id, string_split(chr(10) || regexp_replace(text, '{T.FRONT}', ''), chr(10) || '## ') AS p FROM {_D} WHERE contains(text, chr(10) || '## ')))",
     "table_exports": rf"""SELECT *, table_lines >= 3 AND table_lines > all_lines * 0.6 AS is_table FROM (SELECT doc_id, len(list_filter(l, lambda x: trim(x, ' ') LIKE '|%' AND trim(x, ' ') LIKE '%|'))::INT AS table_lines, len(l)::INT AS all_lines
   FROM (SELECT doc_id, list_filter(string_split(text, chr(10)), lambda x: trim(x, ' ') <> '') AS l FROM {_D})) WHERE table_lines > 0""",
     "link_keys": f"SELECT target, count(*) AS times, count(DISTINCT link) AS spellings FROM (SELECT {_KEY.format('link')} AS target, link FROM (SELECT unnest(out_links) AS link FROM retrieval_nodes)) WHERE target IS NOT NULL GROUP BY target",
