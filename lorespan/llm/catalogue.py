@@ -73,6 +73,17 @@ p AS (SELECT DISTINCT item_id, least(len(w), 12) AS n, array_to_string(list_slic
 g AS (SELECT DISTINCT doc_id, n, array_to_string(list_slice(w, i, i + n - 1), ' ') AS gram
       FROM d, (SELECT DISTINCT n FROM p) AS sizes, unnest(generate_series(1, len(w) - n + 1)) AS u(i) WHERE len(w) >= n)
 SELECT DISTINCT doc_id, item_id FROM g JOIN p USING (n, gram)""",
+    "p7_spans": r"""
+WITH d AS (SELECT doc_id, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') AS w FROM documents WHERE text IS NOT NULL),
+items AS (SELECT item_id, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') AS w FROM eval_items WHERE text IS NOT NULL),
+p AS (SELECT DISTINCT item_id, least(len(w), 12) AS n, array_to_string(list_slice(w, i, i + least(len(w), 12) - 1), ' ') AS gram
+      FROM items, unnest(generate_series(1, len(w) - least(len(w), 12) + 1)) AS u(i) WHERE len(w) >= 8),
+g AS (SELECT doc_id, n, i - 1 AS at_, array_to_string(list_slice(w, i, i + n - 1), ' ') AS gram
+      FROM d, (SELECT DISTINCT n FROM p) AS sizes, unnest(generate_series(1, len(w) - n + 1)) AS u(i) WHERE len(w) >= n),
+o AS (SELECT DISTINCT doc_id, item_id, at_, n FROM g JOIN p USING (n, gram)),
+m AS (SELECT *, CASE WHEN at_ <= lag(at_) OVER w + n THEN 0 ELSE 1 END AS new FROM o WINDOW w AS (PARTITION BY doc_id, item_id ORDER BY at_)),
+r AS (SELECT *, sum(new) OVER (PARTITION BY doc_id, item_id ORDER BY at_) AS run FROM m)
+SELECT doc_id, item_id, min(at_) AS first_word, max(at_) + max(n) - 1 AS last_word FROM r GROUP BY doc_id, item_id, run""",
 }
 
 

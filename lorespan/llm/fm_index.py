@@ -15,18 +15,24 @@ SAMPLE = 8
 
 
 def suffix_array(text: np.ndarray) -> np.ndarray:
-    """Positions of all suffixes in their order (prefix doubling), a shorter suffix before its extensions."""
+    """Positions of all suffixes in their order, a shorter suffix before its extensions.
+
+    Prefix doubling; a suffix that is alone in its group has its place, and only the others are sorted again.
+    """
     n = len(text)
-    _, rank = np.unique(text, return_inverse=True)
-    rank = rank.astype(np.int64)
-    order, width = np.argsort(rank, kind="stable"), 1
-    while n and rank[order[-1]] < n - 1:
-        after = np.zeros(n, dtype=np.int64)
-        after[: max(n - width, 0)] = rank[width:] + 1
-        key = rank * (n + 1) + after
-        order = np.argsort(key, kind="stable")
-        steps = np.diff(key[order]) != 0
-        rank[order] = np.concatenate([[0], np.cumsum(steps)])
+    order = np.argsort(text, kind="stable")
+    rank = np.empty(n, dtype=np.int64)
+    places, key, width = np.arange(n), text[order], 1
+    while len(places):
+        new = np.concatenate([[True], key[1:] != key[:-1]])
+        group = np.cumsum(new) - 1
+        rank[order[places]] = places[new][group]  # a group's rank is the place where it begins
+        places = places[(np.bincount(group) > 1)[group]]
+        at = order[places]
+        after = np.where(at + width < n, rank[np.minimum(at + width, n - 1)] + 1, 0)
+        key = rank[at] * (n + 1) + after
+        by = np.argsort(key, kind="stable")
+        order[places], key = at[by], key[by]
         width *= 2
     return order
 
@@ -38,7 +44,8 @@ class WaveletMatrix:
         self.levels: list[tuple[int, np.ndarray, int]] = []
         for bit in range(int(values.max(initial=0)).bit_length() - 1, -1, -1):
             ones = (values >> bit & 1).astype(bool)
-            before = np.concatenate([[0], np.cumsum(ones)])
+            before = np.zeros(len(values) + 1, dtype=np.int32)
+            np.cumsum(ones, out=before[1:])
             zeros = len(values) - int(before[-1])
             self.levels.append((bit, before, zeros))
             values = np.concatenate([values[~ones], values[ones]])
@@ -56,7 +63,7 @@ class WaveletMatrix:
         """The numbers at these places."""
         value = np.zeros_like(place)
         for bit, before, zeros in self.levels:
-            one = before[place + 1] - before[place]
+            one = (before[place + 1] - before[place]).astype(np.int64)
             value |= one << bit
             place = np.where(one == 1, zeros + before[place], place - before[place])
         return value

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 from collections import defaultdict
+from itertools import count
 from typing import Iterator
 
 import numpy as np
@@ -11,14 +12,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lorespan.llm.fm_index import FMIndex
+
 #: Runs of letters and digits; ``\w`` of Python is letters, digits and the underscore.
 WORD = re.compile(r"[^\W_]+")
 
-#: Test items taken by one pass over the corpus.  More are done in several passes, so what a task holds of them is bounded.
-ITEMS_PER_PASS = 20_000
+#: Test items held by a task at a time; more are searched one part after another in the same index.
+ITEMS_PER_PART = 20_000
 
-#: A shard of the index has about this many words of possible passages.
-SHARD_WORDS = 2_000_000
+#: A shard of the index has about this many words.
+SHARD_WORDS = 1_000_000
 
 
 def words_of(text: str | None) -> list[str]:
@@ -26,52 +29,65 @@ def words_of(text: str | None) -> list[str]:
     return WORD.findall(text.lower()) if text else []
 
 
-class Phrases:
-    """What is searched for: each ``window`` consecutive words of an item, or all words of a shorter one."""
-
-    def __init__(self, items: list[tuple[int, str | None]], window: int, shortest: int) -> None:
-        self.number: dict[str, int] = {}
-        found: dict[tuple[int, ...], set[int]] = defaultdict(set)
-        for item, text in items:
-            words = [self.number.setdefault(w, len(self.number) + 1) for w in words_of(text)]
+class Shard:
+    """Whole texts of the corpus as one sequence of word numbers, each text ended by a 0, to be indexed once."""
+
+    def __init__(self) -> None:
+        self.number: dict[str, int] = defaultdict(count(1).__next__)
+        self.docs: list[int] = []
+        self.texts: list[np.ndarray] = []
+        self.size = 0
+
+    def add(self, doc: int, text: str | None) -> None:
+        words = words_of(text)
+        numbers = np.zeros(len(words) + 1, dtype=np.int64)
+        numbers[:-1] = np.fromiter(map(self.number.__getitem__, words), np.int64, len(words))
+        self.docs.append(doc)
+        self.texts.append(numbers)
+        self.size += len(numbers)
+
+    def phrases(self, items: list[tuple[int, list[str]]], window: int, shortest: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """For each length of phrases the rows of word numbers, and the item of each: every ``window`` consecutive words of an
+        item, or all words of a shorter one.  Phrases with a word that the shard doesn't have are left out."""
+        by_size: dict[int, list] = defaultdict(list)
+        for item, words in items:
             if len(words) >= shortest:
-                size = min(window, len(words))
-                for at in range(len(words) - size + 1):
-                    found[tuple(words[at : at + size])].add(item)
-        self.by_size: dict[int, tuple[np.ndarray, list[list[int]]]] = {}
-        for size in sorted({len(p) for p in found}):
-            own = [p for p in found if len(p) == size]
-            self.by_size[size] = np.array(own, dtype=np.int64), [sorted(found[p]) for p in own]
-        self.least = min(self.by_size, default=0)
-
-    def runs(self, text: str | None) -> tuple[np.ndarray, np.ndarray]:
-        """The words of a text that can be part of a match, each run of them ended by a 0, and their word positions.
-
-        A match lies in a run of words that all occur in some item; runs shorter than the shortest phrase can't hold one.
-        """
-        numbers = np.fromiter((self.number.get(w, 0) for w in words_of(text)), dtype=np.int64)
-        edges = np.diff(np.concatenate([[0], (numbers > 0).astype(np.int8), [0]]))
-        starts, ends = np.flatnonzero(edges == 1), np.flatnonzero(edges == -1)
-        keep = ends - starts >= self.least
-        if not self.least or not keep.any():
-            return np.zeros(0, np.int64), np.zeros(0, np.int64)
-        places = np.concatenate([np.arange(a, b + 1) for a, b in zip(starts[keep], ends[keep])])
-        return np.append(numbers, 0)[places], places
-
-
-def _search(phrases: Phrases, text: np.ndarray) -> Iterator[tuple[int, int, int]]:
-    """(position in the shard's text, item, words) of each occurrence."""
-    from lorespan.llm.fm_index import FMIndex
-
-    index = FMIndex(text)
-    for size, (rows, items) in phrases.by_size.items():
-        low, high = index.search(rows)
-        hit = np.flatnonzero(high > low)
-        counts = high[hit] - low[hit]
-        places = np.repeat(low[hit] - np.cumsum(counts) + counts, counts) + np.arange(counts.sum())
-        for position, phrase in zip(index.locate(places).tolist(), np.repeat(hit, counts).tolist()):
-            for item in items[phrase]:
-                yield position, item, size
+                by_size[min(window, len(words))].append((item, words))
+        for size, own in by_size.items():
+            numbers = np.array([self.number[w] if w in self.number else 0 for _, words in own for w in words], dtype=np.int64)
+            length = np.array([len(words) for _, words in own])
+            item = np.repeat(np.array([i for i, _ in own], dtype=np.int64), length)
+            left = np.repeat(np.cumsum(length), length) - np.arange(len(numbers))  # words of the item from here on
+            rows = np.lib.stride_tricks.sliding_window_view(numbers, size)
+            keep = (left[: len(rows)] >= size) & (rows > 0).all(axis=1)
+            yield rows[keep], item[: len(rows)][keep]
+
+    def spans(self, parts: list, window: int, shortest: int) -> pa.RecordBatch:
+        """``doc``, ``item``, ``first_word``, ``last_word`` of the passages of all parts of the items."""
+        text = np.concatenate(self.texts)
+        length = np.array([len(t) for t in self.texts])
+        doc = np.repeat(np.arange(len(length)), length)
+        starts = np.cumsum(length) - length
+        index = FMIndex(text)
+        out = [np.zeros((0, 4), dtype=np.int64)]
+        for part in parts:
+            for rows, item in self.phrases(part.value, window, shortest):
+                low, high = index.search(rows)
+                hit = np.flatnonzero(high > low)
+                times = high[hit] - low[hit]
+                places = np.repeat(low[hit] - np.cumsum(times) + times, times) + np.arange(times.sum())
+                at, item = index.locate(places), np.repeat(item[hit], times)
+                of = doc[at]
+                # Occurrences of one item, all of one length: those that overlap or touch are one passage.
+                found = np.unique(np.stack([of, item, at - starts[of]], axis=1), axis=0)
+                if len(found):
+                    last = found[:, 2] + rows.shape[1] - 1
+                    new = np.concatenate([[True], (found[1:, :2] != found[:-1, :2]).any(axis=1) | (found[1:, 2] > last[:-1] + 1)])
+                    first = np.flatnonzero(new)
+                    ends = np.append(first[1:], len(found)) - 1
+                    out.append(np.column_stack([np.array(self.docs, dtype=np.int64)[found[first, 0]], found[first, 1:], last[ends]]))
+        columns = np.concatenate(out)
+        return pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(c)) for c in columns.T], names=["doc", "item", "first_word", "last_word"])
 
 
 def leaked_passages(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", window: int = 12, shortest: int = 8) -> DataFrame:
@@ -80,69 +96,39 @@ def leaked_passages(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", t
     A passage is a run of words of a document in which each ``window`` consecutive words stand in the item too, or all words of
     an item that has ``shortest`` to ``window - 1`` words.  Overlapping occurrences of one item are merged to one span.
 
-    Method: each task indexes the shard of the corpus it reads with an FM-index (:mod:`lorespan.llm.fm_index`), searches all
-    phrases of the items backwards through the ranks of a wavelet matrix, locates the occurrences by sampled suffix
-    positions and merges their spans.  Of the shard only runs of words that all occur in some item are indexed; no match
-    can lie elsewhere.  No shuffle but the final merge.  Items are the stated query set: they go to the tasks in passes of
-    at most ``ITEMS_PER_PASS``.
+    Method: each task indexes the whole texts of the shards of the corpus it reads with an FM-index
+    (:mod:`lorespan.llm.fm_index`), once; searches all phrases of the items backwards through the ranks of a wavelet
+    matrix, locates the occurrences by sampled suffix positions and merges their spans.  Texts are not shuffled.  Items are
+    the stated query set: they go to the tasks in parts of at most ``ITEMS_PER_PART``, which a task searches one after
+    another, so the corpus is read and indexed once, whatever their number.
 
     Words are maximal runs of letters and digits of the lower-cased text.  Null, empty and blank texts on either side match
     nothing, items of fewer than ``shortest`` words neither.  Items repeated word for word leak each.  A repeated document row
     counts once.  Other columns are not read.
     """
     spark = docs.sparkSession
-    kept = items.select(items[item_col].cast("long").alias("item"), items[item_text].cast("string").alias("text")).where("text is not null").distinct()
+    kept = items.select(items[item_col].cast("long").alias("item"), items[item_text].cast("string").alias("text")).where("item is not null and text is not null").distinct()
     wanted = docs.select(docs[id_col].cast("long").alias("doc"), docs[text_col].cast("string").alias("text"))
-    parts = max(1, -(-kept.count() // ITEMS_PER_PASS))
-    found = None
-    for part in range(parts):
-        rows = kept.where(F.pmod(F.xxhash64("item", "text"), F.lit(parts)) == part).collect()
-        query = spark.sparkContext.broadcast(sorted((r["item"], r["text"]) for r in rows))
-
-        def search(batches: Iterator[pa.RecordBatch], query=query) -> Iterator[pa.RecordBatch]:
-            phrases = Phrases(query.value, window, shortest)
-            docs_, texts, places, size = [], [], [], 0
-
-            def flush() -> Iterator[pa.RecordBatch]:
-                text = np.concatenate(texts)
-                doc = np.repeat(np.array(docs_, dtype=np.int64), [len(t) for t in texts])
-                place = np.concatenate(places)
-                hits = list(_search(phrases, text))
-                at = np.array([h[0] for h in hits], dtype=np.int64)
-                length = np.array([h[2] for h in hits], dtype=np.int64)
-                columns = [doc[at], np.array([h[1] for h in hits], dtype=np.int64), place[at], place[at] + length - 1]
-                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=["doc", "item", "first_word", "last_word"])
-
-            for batch in batches:
-                for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                    numbers, where = phrases.runs(text)
-                    if len(numbers) and doc is not None:
-                        docs_.append(doc)
-                        texts.append(numbers)
-                        places.append(where)
-                        size += len(numbers)
-                        if size >= SHARD_WORDS:
-                            yield from flush()
-                            docs_, texts, places, size = [], [], [], 0
-            if size:
-                yield from flush()
-
-        one = wanted.mapInArrow(search, "doc long, item long, first_word long, last_word long")
-        found = one if found is None else found.unionByName(one)
-    # Merge spans that overlap or touch; one document and item at a time, from occurrences only.
-    spans = found.groupBy("doc", "item").agg(F.array_sort(F.collect_set(F.struct("first_word", "last_word"))).alias("all"))
-    merged = F.aggregate(
-        "all",
-        F.expr("cast(array() as array<struct<first_word:bigint,last_word:bigint>>)"),
-        lambda done, x: F.when(
-            (F.size(done) > 0) & (x["first_word"] <= F.element_at(done, -1)["last_word"] + 1),
-            F.concat(
-                F.slice(done, 1, F.size(done) - 1),
-                F.array(F.struct(F.element_at(done, -1)["first_word"].alias("first_word"), F.greatest(F.element_at(done, -1)["last_word"], x["last_word"]).alias("last_word"))),
-            ),
-        ).otherwise(F.concat(done, F.array(x))),
-    )
-    return spans.select(F.col("doc").alias(id_col), F.col("item").alias(item_col), F.inline(merged))
+    number = max(1, -(-kept.count() // ITEMS_PER_PART))
+    parts = []
+    for part in range(number):
+        rows = kept.where(F.pmod(F.xxhash64("item", "text"), F.lit(number)) == part).collect()
+        parts.append(spark.sparkContext.broadcast(sorted((r["item"], words_of(r["text"])) for r in rows)))
+
+    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shard = Shard()
+        for batch in batches:
+            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                if doc is not None and text:
+                    shard.add(doc, text)
+                    if shard.size >= SHARD_WORDS:
+                        yield shard.spans(parts, window, shortest)
+                        shard = Shard()
+        if shard.size:
+            yield shard.spans(parts, window, shortest)
+
+    found = wanted.mapInArrow(search, "doc long, item long, first_word long, last_word long")
+    return found.distinct().toDF(id_col, item_col, "first_word", "last_word")  # for rows delivered twice
 
 
 def leaked_documents(docs: DataFrame, items: DataFrame, **options) -> DataFrame:

@@ -37,15 +37,25 @@ def test_passages(spark):
     assert spans(spark, docs, items) == [(1, 1, 1, 13), (1, 6, 1, 12), (2, 2, 1, 8), (2, 2, 10, 17), (6, 1, 0, 11), (6, 6, 0, 11)]
 
 
-def test_passes_and_shards_change_nothing(spark, monkeypatch):
+def test_parts_and_shards_change_nothing(spark, monkeypatch):
     items = [(i, f"{TWELVE} w{i} v{i}") for i in range(7)]
     docs = [(i, f"x {TWELVE} w{i % 5} v{i % 5} y") for i in range(40)]
     once = spans(spark, docs, items)
-    monkeypatch.setattr(leakage, "ITEMS_PER_PASS", 2)
+    monkeypatch.setattr(leakage, "ITEMS_PER_PART", 2)
     monkeypatch.setattr(leakage, "SHARD_WORDS", 20)
     assert spans(spark, docs, items) == once and len(once) == 40 * 7
 
 
+def test_many_items_read_the_corpus_once(spark):
+    """60 000 items are searched in three parts in the same index; one scan, one pass of Python."""
+    items = spark.range(60_000).selectExpr("id as item_id", "concat(id % 300, ' two three four five six seven eight nine ten eleven twelve') as text")
+    docs = spark.range(20).selectExpr("id as doc_id", "concat('x ', id * 10, ' two three four five six seven eight nine ten eleven twelve y') as text")
+    found = leakage.leaked_passages(docs, items)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("MapInArrow") == 1 and plan.count("Range") == 1
+    assert found.count() == 20 * 200
+
+
 def test_empty_tables(spark):
     assert spans(spark, [], [(1, TWELVE)]) == [] and spans(spark, [(1, TWELVE)], []) == []
 
@@ -59,3 +69,7 @@ def test_word_is_letters_and_digits():
 
 def test_found_equals_sql(spark, data):
     compare(spark, data, catalogue.QUERIES["p7_found"], catalogue.SQL["p7_found"])
+
+
+def test_spans_equal_sql(spark, data):
+    compare(spark, data, catalogue.QUERIES["p7_spans"], catalogue.SQL["p7_spans"])
