@@ -51,6 +51,34 @@ def test_large_files_are_split(spark, monkeypatch):
     assert len(want & got) >= 0.95 * len(want)
 
 
+def test_files_of_several_pivots(spark, monkeypatch):
+    """Large files are replaced by those of two and three pivots; the counts of all files stay below the limit but for dense ones."""
+    vectors = clustered(np.random.default_rng(5), 500)
+    monkeypatch.setattr(N, "FILE_ROWS", 60)
+    want, got = brute(vectors), found(spark, [(i, v, 1) for i, v in vectors.items()])
+    assert len(want & got) >= 0.97 * len(want) and len(got - want) <= 0.01 * len(want)
+
+
+def test_postings(monkeypatch):
+    perms = np.array([[0, 1, 2, 3, 4, 5, 6, 7, 8, 9], [9, 8, 7, 6, 5, 4, 3, 2, 1, 0]])
+    files = N._Files(10)
+    row, file = files.of(perms)
+    assert sorted(zip(row.tolist(), file.tolist())) == [(0, 0), (0, 1), (0, 2), (0, 3), (1, 6), (1, 7), (1, 8), (1, 9)]
+    files.large[0] = np.array([0, 1])
+    row, file = files.of(perms[:1])
+    assert sorted(file.tolist()) == [2, 3] + [10 + q for q in range(1, 7)] + [10 + 10 + q for q in range(2, 7)]
+    files.large[1] = np.array([10 + 1])  # of 0 and 1
+    row, file = files.of(perms[:1])
+    assert sorted(f for f in file.tolist() if f >= 110) == [110 + 10 + q for q in range(2, 7)] and files.depth(file).max() == 3
+
+
+def test_class_of_very_many_copies(spark):
+    copies = spark.range(100_000).selectExpr("lpad(id, 6, '0') as chunk_id", "transform(sequence(1, 64), i -> float(i)) as embedding", "1 as upserted_at")
+    other = spark.range(1).selectExpr("'x' as chunk_id", "transform(sequence(1, 64), i -> float(i + (i % 2))) as embedding", "1 as upserted_at")
+    near = N.nearest_vectors(copies.unionByName(other))
+    assert near.count() == 5 * 100_001 and near.where("neighbour > '000005'").count() == 0
+
+
 def test_copies_are_one_class(spark):
     rng = np.random.default_rng(3)
     v, near = rng.normal(size=64), rng.normal(size=64)
