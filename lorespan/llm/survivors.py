@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import heapq
 import re
 from datetime import date
 from typing import Iterator
@@ -10,6 +11,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lorespan.session import written
+
+#: Most markers of "no value" that are given to every task; more are joined.
+MOST_MARKERS = 10_000
+
 #: The fields of a page that can survive.
 FIELDS = ("title", "description", "tags", "sources", "body")
 
@@ -80,11 +86,12 @@ def _updated(values: list[str]) -> int:
 def parsed_pages(requests: DataFrame, id_col: str = "request_id", group_col: str = "merge_group") -> DataFrame:
     """``request``, ``place``, ``slug``, ``confidence``, ``updated`` (days since 1970, or before all) and ``values`` (field -> entries) of each page.
 
-    Pages without a slug are left out, and requests with fewer than two distinct slugs.  Repeated rows count once.
+    Pages without a slug are left out, and requests with fewer than two distinct slugs.  Repeated rows give repeated pages, which
+    change nothing in what is chosen, so contents are never shuffled.
     """
     several = requests.where(F.size(F.array_distinct(F.filter(requests[group_col]["slug"], lambda x: x.isNotNull()))) >= 2)
     pages = several.select(requests[id_col].alias("request"), F.posexplode(requests[group_col]).alias("place", "page"))
-    pages = pages.select("request", "place", "page.slug", "page.content").where("slug is not null").distinct()
+    pages = pages.select("request", "place", "page.slug", "page.content").where("slug is not null")
     kind = pages.schema["request"].dataType.simpleString()
 
     def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -107,13 +114,20 @@ def usable_fields(pages: DataFrame, markers: DataFrame, marker_col: str = "marke
     to a digest of their entries.
 
     An entry counts if it has a letter or digit and is no marker of "no value" in any case; a field is usable if an entry
-    counts.
+    counts.  Up to ``MOST_MARKERS`` markers are told from entries where the page is, more by a join.
     """
     none = markers.select(F.lower(markers[marker_col]).alias("entry")).where("entry is not null").distinct()
     page = ["request", "place", "slug", "confidence", "updated"]
+    digest = lambda entries: F.sha2(F.concat_ws("\x1f", entries), 256)
+    readable = lambda x: x.rlike(r"[\p{L}\p{N}]")
+    few = none.limit(MOST_MARKERS + 1).collect()
+    if len(few) <= MOST_MARKERS:
+        marked = F.array(*(F.lit(r["entry"]) for r in few)) if few else F.expr("cast(array() as array<string>)")
+        counts = lambda x: readable(x) & ~F.array_contains(marked, F.lower(x))
+        usable = F.map_filter("values", lambda _, entries: F.exists(entries, counts))
+        return pages.select(*page, F.transform_values(usable, lambda _, entries: digest(entries)).alias("fields"))
     fields = pages.select(*page, F.explode("values").alias("field", "entries"))
-    digest = F.sha2(F.concat_ws("\x1f", "entries"), 256)
-    entries = fields.select(*page, "field", digest.alias("digest"), F.explode("entries").alias("own")).where(F.col("own").rlike(r"[\p{L}\p{N}]"))
+    entries = fields.select(*page, "field", digest("entries").alias("digest"), F.explode("entries").alias("own")).where(readable(F.col("own")))
     kept = entries.withColumn("entry", F.lower("own")).join(none, "entry", "left_anti").select(*page, F.struct("field", "digest").alias("one"))
     all_ = kept.unionByName(pages.select(*page, F.lit(None).cast("struct<field:string,digest:string>").alias("one")))
     return all_.groupBy(*page).agg(F.map_from_entries(F.collect_set("one")).alias("fields"))
@@ -127,6 +141,10 @@ def best_bundles(candidates: list[tuple[str, str, tuple, dict]], dependencies: l
     surviving values stand together.  Trust of a choice is the sum over its bundles, entry by entry, compared from the
     first entry on; of equal ones the one of the smallest slugs, in the bundles' order.  A bundle may stay unfilled, which
     no dependency touches, so there is always a choice; one that fills more bundles goes before any that fills fewer.
+
+    Candidates are kept by the values that dependencies bind, so a branch looks only at those that can stand with what is
+    chosen, the most trusted first, and ends where the most that the bundles left can add is less than the best choice has.
+    A bundle has one candidate for each combination of its bound values in the group, however many pages have it.
     """
     by: dict[str, list[tuple[tuple, tuple, dict]]] = {}
     for bundle, slug, trust, values in candidates:
@@ -142,6 +160,18 @@ def best_bundles(candidates: list[tuple[str, str, tuple, dict]], dependencies: l
     for name in reversed(names):  # the most that the bundles from here on can add
         rest.append(plus(rest[-1], by[name][0][1]))
     rest.reverse()
+    # Places of a bundle's candidates by the value of a bound field, and under None of those without it; partners of a value.
+    ends = {f for pair in dependencies for f in pair}
+    places: dict[tuple[str, str], dict[str | None, list[int]]] = {}
+    for name, own in by.items():
+        for f in ends & {f for _, _, v in own for f in v}:
+            for i, (_, _, v) in enumerate(own):
+                places.setdefault((name, f), {}).setdefault(v.get(f), []).append(i)
+    partners: dict[tuple[str, str], dict[str, list[str]]] = {}
+    for (a, b), pairs in seen.items():
+        for x, y in pairs:
+            partners.setdefault((a, b), {}).setdefault(x, []).append(y)
+            partners.setdefault((b, a), {}).setdefault(y, []).append(x)
     best: tuple[tuple, list[tuple]] | None = None
     chosen: list[tuple] = []
     values: dict[str, str] = {}
@@ -150,13 +180,24 @@ def best_bundles(candidates: list[tuple[str, str, tuple, dict]], dependencies: l
         joined = values | new
         return all((joined[a], joined[b]) in seen.get((a, b), ()) for a, b in dependencies if a in joined and b in joined and (a in new or b in new))
 
+    def possible(name: str) -> Iterator[tuple]:
+        """Candidates that the shortest list of a bound value allows, the most trusted first."""
+        lists = []
+        for a, b in (*dependencies, *((b, a) for a, b in dependencies)):
+            if a in values and (name, b) in places:
+                own = places[name, b]
+                lists.append([own[v] for v in (*partners.get((a, b), {}).get(values[a], ()), None) if v in own])
+        if not lists:
+            return iter(by[name])
+        return (by[name][i] for i in heapq.merge(*min(lists, key=lambda x: sum(map(len, x)))))
+
     def branch(k: int, trust: tuple) -> None:
         nonlocal best
         if k == len(names):
             if best is None or trust > best[0] or (trust == best[0] and chosen < best[1]):
                 best = trust, list(chosen)
             return
-        for slug, own, new in by[names[k]]:
+        for slug, own, new in possible(names[k]):
             bound = plus(plus(trust, own), rest[k + 1])
             if best is not None and (bound < best[0] or (bound == best[0] and [*chosen, slug] > best[1][: k + 1])):
                 if bound < best[0]:
@@ -204,6 +245,8 @@ def survivors(
     dependencies = list(dependencies)
     bound_fields = sorted({f for pair in dependencies for f in pair})
     pages = usable_fields(parsed_pages(requests, id_col, group_col), markers)
+    if dependencies:  # read twice below; digests, no contents
+        pages = written(pages, "pages")
 
     def bundle(name: str, own: tuple[str, ...]):
         bound = [f for f in own if f in bound_fields]

@@ -157,3 +157,62 @@ def test_body_and_title_on_different_pages_still_survive(spark):
     bundles = {"naming": ("title", "description"), "body": ("body",)}
     got = {tuple(r) for r in V.survivors(df, spark.createDataFrame([], "marker string"), bundles, [("body", "title")]).collect()}
     assert got == {(1, "naming", "a")}
+
+
+def brute_bundles(rows, markers, bundles, needed):
+    """All choices of one candidate, or none, for every bundle of every group."""
+    marked, out = {m.lower() for m in markers if m}, set()
+    good = lambda v: bool(regex.search(r"[\p{L}\p{N}]", v)) and v.lower() not in marked
+    for request, group in rows:
+        pages = [p for p in group or [] if p and p["slug"] is not None]
+        if len({p["slug"] for p in pages}) < 2:
+            continue
+        read = []
+        for p in pages:
+            fields, body = V.parse_page(p["content"])
+            values = {f: tuple([body] if f == "body" else fields.get(f, [])) for f in FIELDS}
+            usable = {f: v for f, v in values.items() if any(map(good, v))}
+            read.append((p["slug"], usable, round(V._confidence(fields.get("confidence", [])) * 10**12), V._updated(fields.get("updated", []))))
+        options, names = [], sorted(bundles)
+        for name in names:
+            own = [(slug, (1, sum(f in usable for f in bundles[name]), sure, day), {f: usable[f] for f in bundles[name] if f in usable}) for slug, usable, sure, day in read if any(f in usable for f in bundles[name])]
+            if own:
+                options.append([(name, *c) for c in own] + [None])
+        best = None
+        for choice in itertools.product(*options):
+            taken = [c for c in choice if c]
+            value = {f: v for c in taken for f, v in c[3].items()}
+            if all(any(u.get(a) == value[a] and u.get(b) == value[b] for _, u, _, _ in read) for a, b in needed if a in value and b in value):
+                key = ([-sum(c[2][i] for c in taken) for i in range(4)], [(0, c[1]) if c else (1, "") for c in choice], [c[0] for c in taken])
+                best = min(best or key, key)
+        if best:
+            out |= {(request, name, slug) for name, (_, slug) in zip(best[2], [x for x in best[1] if not x[0]])}
+    return out
+
+
+def test_given_requests_with_dependencies_equal_brute_force(spark, data):
+    """The query p4_consistent, as it is registered, on all given requests."""
+    from lorespan.llm import catalogue
+
+    markers = spark.read.parquet(f"{data}/null_markers.parquet")
+    requests = spark.read.parquet(f"{data}/merge_requests.parquet").collect()
+    rows = list({r.request_id: (r.request_id, [p and p.asDict() for p in r.merge_group] if r.merge_group is not None else None) for r in requests}.values())
+    got = {tuple(r) for r in catalogue.QUERIES["p4_consistent"](spark, data).collect()}
+    want = brute_bundles(rows, [r.marker for r in markers.collect()], {"naming": ("title", "description"), "origin": ("tags", "sources"), "body": ("body",)}, [("body", "title"), ("body", "sources")])
+    assert got == want and len(got) > 50
+
+
+def test_many_markers_are_joined(spark, monkeypatch):
+    rows = [(1, [page("a", "---\ntitle: TBD\n---\nx"), page("b", "---\ntitle: t\n---\n")])]
+    want = found(spark, rows)
+    monkeypatch.setattr(V, "MOST_MARKERS", 1)
+    assert found(spark, rows) == want and (1, "title", "b") in want
+
+
+def test_group_of_very_many_pages(spark):
+    """10 000 pages of their own values: candidates are looked up by value, not tried one by one."""
+    group = [page(f"s{i:05}", f"---\ntitle: t{i % 5000}\nsources: [f{i}.pdf]\nconfidence: 0.{i % 97:02}\n---\nbody {i}") for i in range(10_000)]
+    df = spark.createDataFrame([(1, group, "x", 1)], SCHEMA)
+    bundles = {"naming": ("title",), "origin": ("sources",), "body": ("body",)}
+    got = {r.bundle: r.slug for r in V.survivors(df, spark.createDataFrame([], "marker string"), bundles, [("body", "title"), ("body", "sources")]).collect()}
+    assert set(got) == set(bundles) and len(set(got.values())) <= 2 and got["body"] == got["origin"]
