@@ -12,7 +12,7 @@ from lorespan.llm.encoding import encode_corpus
 from lorespan.llm.leakage import leaked_documents, leaked_passages
 from lorespan.llm import near_duplicates
 from lorespan.llm.neighbours import found_pairs, nearest_vectors
-from lorespan.llm.splitting import split_corpus
+from lorespan.llm.splitting import rebuilt_texts, split_corpus
 from lorespan.llm.survivors import found_survivors, survivors
 from lorespan.session import table
 
@@ -31,6 +31,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p7_found": lambda spark, folder: leaked_documents(table(spark, folder, "documents", spread=True), table(spark, folder, "eval_items")),
     "p7_spans": lambda spark, folder: leaked_passages(table(spark, folder, "documents", spread=True), table(spark, folder, "eval_items")),
     "p8_pieces": lambda spark, folder: split_corpus(table(spark, folder, "documents", spread=True)),
+    "p8_rebuilt": lambda spark, folder: rebuilt_texts(table(spark, folder, "documents"), split_corpus(table(spark, folder, "documents", spread=True))),
 }
 
 _NEAREST = """
@@ -65,6 +66,7 @@ k AS (SELECT DISTINCT group_id, slug FROM e WHERE slug IS NOT NULL AND slug <> '
 l AS (SELECT DISTINCT x.slug AS a, y.slug AS b FROM k x JOIN k y USING (group_id) WHERE x.slug <> y.slug),
 r(a, b) AS (SELECT a, b FROM l UNION SELECT r.a, l.b FROM r JOIN l ON r.b = l.a)
 SELECT a AS slug, least(a, min(b)) AS group_slug FROM r GROUP BY a""",
+    "p8_rebuilt": "SELECT doc_id, sha256(text) AS digest, true AS fit, true AS follow FROM documents WHERE text IS NOT NULL",
     "p7_found": r"""
 WITH d AS (SELECT doc_id, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') AS w FROM documents WHERE text IS NOT NULL),
 items AS (SELECT item_id, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') AS w FROM eval_items WHERE text IS NOT NULL),

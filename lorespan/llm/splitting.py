@@ -8,6 +8,8 @@ import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
+from pyspark.sql import functions as F
 
 from lorespan.session import tokenizer_path
 
@@ -226,3 +228,17 @@ def split_corpus(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     kind = wanted.schema["key"].dataType.simpleString()
     pieces = wanted.mapInArrow(split, f"key {kind}, piece int, start int, end int, n_tokens int, overlap_tokens int, ends_at string, piece_text string")
     return pieces.withColumnRenamed("key", id_col)
+
+
+def rebuilt_texts(docs: DataFrame, pieces: DataFrame, id_col: str = "doc_id", text_col: str = "text", limit: int = 512, overlap: int = 64) -> DataFrame:
+    """``id_col``, ``digest`` of every text that is not null, of a split one put together from its pieces without their repeats, and
+    whether the pieces ``fit`` the limit and the overlap, and ``follow`` each other without a gap.  Ids are unique."""
+    before = F.lag("end", 1, 0).over(W.partitionBy(id_col).orderBy("piece"))
+    placed = pieces.withColumn("before", before)
+    fits = (F.col("n_tokens") <= limit) & (F.col("overlap_tokens") <= overlap)
+    follows = (F.col("start") <= F.col("before")) & (F.col("before") < F.col("end"))
+    new = F.expr("substring(piece_text, before - start + 1)")
+    whole = placed.groupBy(id_col).agg(F.array_join(F.array_sort(F.collect_list(F.struct("piece", new.alias("new"))))["new"], "").alias("rebuilt"), F.every(fits).alias("fit"), F.every(follows).alias("follow"))
+    texts = docs.where(F.col(text_col).isNotNull()).select(id_col, F.col(text_col).alias("text"))
+    true = F.lit(True)
+    return texts.join(whole, id_col, "left").select(id_col, F.sha2(F.coalesce("rebuilt", "text"), 256).alias("digest"), F.coalesce("fit", true).alias("fit"), F.coalesce("follow", true).alias("follow"))

@@ -1,5 +1,7 @@
 import pytest
+from helpers import compare
 
+from lorespan.llm import catalogue
 from lorespan.llm.splitting import split_corpus
 from lorespan.llm.trie_bpe import TrieEncoder
 from lorespan.session import tokenizer_path
@@ -55,3 +57,7 @@ def test_limits_are_checked(spark):
 def test_clashing_columns_and_empty_table(spark):
     df = spark.createDataFrame([(1, "a. " * 600, 3, "x")], "doc_id long, text string, piece int, key string")
     assert split_corpus(df).count() >= 2 and split_corpus(df.limit(0)).count() == 0 and split_corpus(df.union(df)).count() == 2 * split_corpus(df).count()
+
+
+def test_rebuilt_equals_sql(spark, data):
+    compare(spark, data, catalogue.QUERIES["p8_rebuilt"], catalogue.SQL["p8_rebuilt"])
