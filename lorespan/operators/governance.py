@@ -43,7 +43,15 @@ def lifecycle(rows: DataFrame, tier: Column, sources: Column, reinforcements: Co
 
 
 def merged_claims(claims: DataFrame, id_col: str, version: Column, scalars: list[str], arrays: list[str]) -> DataFrame:
-    """One row per claim: scalars of the latest version that has one, arrays as the union over all versions, sorted."""
+    """One row per claim: scalars of the latest version that has one, arrays as the union over all versions, sorted.
+
+    Entries of arrays are made distinct before they meet in one row, so a claim of very many versions gathers no more than
+    it has different entries.  Claims without an id are one.
+    """
     latest = [F.max_by(c, F.when(F.col(c).isNotNull(), version)).alias(c) for c in scalars]
-    unions = [F.array_sort(F.array_distinct(F.flatten(F.collect_list(c)))).alias(c) for c in arrays]
-    return claims.groupBy(id_col).agg(*latest, *unions, F.count("*").alias("versions"))
+    merged = claims.groupBy(id_col).agg(*latest, F.count("*").alias("versions"))
+    for c in arrays:
+        entries = claims.select(F.col(id_col).alias("_of"), F.explode(c).alias("_entry")).where("_entry is not null").distinct()
+        union = entries.groupBy("_of").agg(F.array_sort(F.collect_list("_entry")).alias(c))
+        merged = merged.join(union, merged[id_col].eqNullSafe(union["_of"]), "left").drop("_of").withColumn(c, F.coalesce(c, F.array().cast(claims.schema[c].dataType)))
+    return merged

@@ -1,9 +1,8 @@
-"""Event logs: tolerant reading, histograms, roll-ups, sessions, the gate that starts maintenance."""
+"""Event logs: tolerant reading, histograms, roll-ups, sessions."""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 
@@ -39,20 +38,3 @@ def sessions(events: DataFrame, who: str, at: str, gap_minutes: int) -> DataFram
     """Per ``who`` and session, a run of events with no gap of ``gap_minutes`` or more: ``began``, ``ended``, ``events``."""
     window = F.session_window(at, f"{gap_minutes} minutes")
     return events.groupBy(who, window).agg(F.min(at).alias("began"), F.max(at).alias("ended"), F.count("*").alias("events")).drop("session_window")
-
-
-def gate_openings(events: DataFrame, at: str, order: str, per: Column, most_events: int, most_hours: int) -> DataFrame:
-    """When a maintenance run starts: per key, each ``most_events``-th event of a day, and the first event after ``most_hours``
-    of silence.
-
-    A replay of the counter that a stream would keep, with the day as its epoch: both conditions are window functions over
-    a key's events of a day and the event before, so the log is never folded in one task.
-    """
-    day = F.to_date(at)
-    rows = events.select(per.alias("key"), at, order, day.alias("day"))
-    count = F.row_number().over(W.partitionBy("key", "day").orderBy(at, order))
-    firsts = rows.groupBy("key", "day").agg(F.min(F.struct(at, order)).alias("first"), F.max(at).alias("last_at"))
-    before = F.lag("last_at").over(W.partitionBy("key").orderBy("day"))
-    quiet = firsts.select("key", "day", "first", before.alias("before")).where(F.col("before").isNull() | (F.col(f"first.{at}") - F.expr(f"interval {most_hours} hours") >= F.col("before")))
-    full = rows.withColumn("n", count).where(F.col("n") % most_events == 0).select("key", at, order, F.lit("count").alias("reason"))
-    return full.unionByName(quiet.select("key", f"first.{at}", f"first.{order}", F.lit("silence").alias("reason")))

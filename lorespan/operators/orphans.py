@@ -12,6 +12,10 @@ from lorespan.operators.skew import salted_sides
 from lorespan.session import written
 
 
+#: Rounds whose tables are read one by one before they are written as one.
+TOGETHER = 8
+
+
 @dataclass(frozen=True)
 class Source:
     """A table that refers to pages: its rows' id, the column with one link or many, and the time a link speaks of."""
@@ -57,7 +61,7 @@ def orphan_references(sources: list[Source], nodes: DataFrame, owner: str = "ret
 
     *direct* (depth 0): no page row of the project had that key, as its name or an alias, at that time.  *inherited* (depth
     n): the reference resolves, but to a page row that is orphaned itself; a row is orphaned if one of its references is
-    direct, or leads to an orphaned row.  A record with a direct orphan isn't reported as inherited too.
+    direct, or leads to an orphaned row.  A record can have references of both kinds; each is reported.
 
     Method: a fixpoint down the foreign-key graph.  The direct orphans come from an anti-join; each round then semi-joins
     the edges between page rows with the rows orphaned in the round before, until none is new (``most_rounds`` may stop it
@@ -90,14 +94,16 @@ def orphan_references(sources: list[Source], nodes: DataFrame, owner: str = "ret
         children = own.join(new.select("row_id"), "row_id", "left_semi").select(F.col("child").alias("row_id")).distinct()
         new = written(children.join(orphaned.select("row_id"), "row_id", "left_anti").withColumn("depth", F.lit(depth)), "orphaned")
         orphaned = orphaned.unionByName(new)
-    clean = edges.join(direct.select("ref_table", "ref_id").distinct(), ["ref_table", "ref_id"], "left_anti")
-    inherited = clean.join(orphaned, "row_id").groupBy("ref_table", "ref_id", "target_key", "at").agg((F.min("depth") + 1).alias("depth"))
+        if depth % TOGETHER == 0:
+            orphaned = written(orphaned, "orphaned")
+    inherited = edges.join(orphaned, "row_id").groupBy("ref_table", "ref_id", "target_key", "at").agg((F.min("depth") + 1).alias("depth"))
     return found.unionByName(inherited.withColumn("kind", F.lit("inherited")))
 
 
 def orphan_report(orphans: DataFrame) -> DataFrame:
-    """``ref_table``, ``month`` (``yyyy-MM``), ``direct`` and ``inherited`` references, and the ``records`` that have any."""
+    """``ref_table``, ``month`` (``yyyy-MM``), ``direct`` and ``inherited`` references, the ``records`` that have any, and the
+    ``direct_records`` that have a direct one; the others hang by inheritance alone."""
     month = F.date_format("at", "yyyy-MM").alias("month")
     # Distinct records without carrying them to the groups: first once per record, then summed.
     each = orphans.groupBy("ref_table", "ref_id", month).agg(F.count_if(F.col("kind") == "direct").alias("direct"), F.count_if(F.col("kind") == "inherited").alias("inherited"))
-    return each.groupBy("ref_table", "month").agg(F.sum("direct").alias("direct"), F.sum("inherited").alias("inherited"), F.count("*").alias("records"))
+    return each.groupBy("ref_table", "month").agg(F.sum("direct").alias("direct"), F.sum("inherited").alias("inherited"), F.count("*").alias("records"), F.count_if(F.col("direct") > 0).alias("direct_records"))

@@ -161,7 +161,8 @@ def version_diff(spark: SparkSession, folder: str) -> DataFrame:
 
     rows = table(spark, folder, "retrieval_nodes").where("node_id is not null").distinct()
     w = W.partitionBy("node_id").orderBy("created_at", "row_id")
-    fields = ("title", "page_type", "page_path")
+    fields = ("title", "page_type", "page_path", "data_version", "sources", "out_links")
+    rows = rows.withColumns({"data_version": F.col("data_version").cast("string"), "sources": F.array_join("sources", "|"), "out_links": F.array_join("out_links", "|")})
     both = rows.select("node_id", "row_id", *fields, *(F.lag(f).over(w).alias(f"old_{f}") for f in fields), F.row_number().over(w).alias("n")).where("n > 1")
     diffs = F.array(*(F.struct(F.lit(f).alias("field"), F.col(f"old_{f}").alias("before"), F.col(f).alias("after")) for f in fields))
     return both.select("node_id", "row_id", F.explode(F.filter(diffs, lambda d: ~d["before"].eqNullSafe(d["after"]))).alias("d")).select("node_id", "row_id", "d.*")
@@ -214,6 +215,8 @@ UNION ALL SELECT id, 'no-outlinks', NULL FROM n WHERE id NOT IN {_STRUCT} AND id
     "cascade_delete_refs": f"WITH {_BASE} SELECT source, count(*) AS removed FROM l JOIN n ON n.id = l.source SEMI JOIN (SELECT project_id, node_id AS key FROM retrieval_nodes WHERE deleted_at IS NOT NULL AND node_id IS NOT NULL) g ON g.project_id = n.project_id AND g.key = l.key WHERE target IS NULL GROUP BY source",
     "alias_union": f"""SELECT node_id, string_agg(alias, '|' ORDER BY t) AS aliases, count(*)::INT AS n FROM (SELECT node_id, lower(trim(alias, ' ')) AS f, arg_min(trim(alias, ' '), (created_at, row_id, i)) AS alias, min((created_at, row_id, i)) AS t
   FROM (SELECT node_id, created_at, row_id, unnest(aliases) AS alias, generate_subscripts(aliases, 1) AS i FROM {_ROWS}) WHERE trim(alias, ' ') <> '' GROUP BY 1, 2) GROUP BY node_id""",
-    "version_diff": f"""WITH b AS (SELECT node_id, row_id, title, page_type, page_path, lag(title) OVER w AS ot, lag(page_type) OVER w AS oy, lag(page_path) OVER w AS op, row_number() OVER w AS n FROM {_ROWS} WINDOW w AS (PARTITION BY node_id ORDER BY created_at, row_id))
-SELECT node_id, row_id, field, before, after FROM (SELECT node_id, row_id, 'title' AS field, ot AS before, title AS after FROM b WHERE n > 1 UNION ALL SELECT node_id, row_id, 'page_type', oy, page_type FROM b WHERE n > 1 UNION ALL SELECT node_id, row_id, 'page_path', op, page_path FROM b WHERE n > 1) WHERE before IS DISTINCT FROM after""",
+    "version_diff": f"""WITH v AS (SELECT node_id, row_id, created_at, unnest(['title', 'page_type', 'page_path', 'data_version', 'sources', 'out_links']) AS field, unnest([title, page_type, page_path, data_version::VARCHAR, array_to_string(sources, '|'), array_to_string(out_links, '|')]) AS after
+  FROM (SELECT DISTINCT row_id, node_id, title, page_type, page_path, data_version, sources, out_links, created_at FROM retrieval_nodes WHERE node_id IS NOT NULL)),
+b AS (SELECT *, lag(after) OVER w AS before, row_number() OVER w AS n FROM v WINDOW w AS (PARTITION BY node_id, field ORDER BY created_at, row_id))
+SELECT node_id, row_id, field, before, after FROM b WHERE n > 1 AND before IS DISTINCT FROM after""",
 }

@@ -78,10 +78,6 @@ def user_sessions(spark: SparkSession, folder: str) -> DataFrame:
     return L.sessions(events(spark, folder), "user_id", "ts", 30)
 
 
-def maintenance_gate(spark: SparkSession, folder: str) -> DataFrame:
-    return L.gate_openings(events(spark, folder), "ts", "event_id", F.col("event_type"), 5, 24)
-
-
 def arrival_delay(spark: SparkSession, folder: str) -> DataFrame:
     """By month of the run: findings, and those that came a day or more later."""
     late = F.col("received_at").cast("long") - F.col("run_at").cast("long") >= 86400
@@ -140,7 +136,7 @@ def duplicate_whitelist(spark: SparkSession, folder: str) -> DataFrame:
     return groups.join(declined, "key", "left_anti")
 
 
-QUERIES = {f.__name__: f for f in (audit_filter, audit_day_hist, audit_category_hist, actor_rollup, target_rollup, latest_event_per_actor, last_events, egress_groups_7d, json_lines, user_sessions, maintenance_gate, arrival_delay, schema_drift_counts, drift_candidates, suggestion_categories, lifecycle_score, merged_summaries, conflicting_summaries, duplicate_whitelist)}
+QUERIES = {f.__name__: f for f in (audit_filter, audit_day_hist, audit_category_hist, actor_rollup, target_rollup, latest_event_per_actor, last_events, egress_groups_7d, json_lines, user_sessions, arrival_delay, schema_drift_counts, drift_candidates, suggestion_categories, lifecycle_score, merged_summaries, conflicting_summaries, duplicate_whitelist)}
 
 _LINT = "(SELECT DISTINCT * FROM lint_results)"
 _DRIFT = "(SELECT DISTINCT * FROM schema_drift_findings)"
@@ -159,9 +155,6 @@ SQL = {
     "egress_groups_7d": "SELECT event_type, floor(value / 25)::BIGINT AS bucket, count_if(value < 50)::BIGINT AS allowed, count_if(value >= 50)::BIGINT AS blocked, max(ts) AS last_seen FROM events WHERE ts > (SELECT max(ts) FROM events) - INTERVAL 7 DAY GROUP BY ALL",
     "json_lines": "SELECT event_type, count_if(props IS NOT NULL AND NOT json_valid(props))::BIGINT AS bad, count(k) AS with_k, sum(k)::BIGINT AS sum_k FROM (SELECT *, TRY_CAST(json_extract_string(CASE WHEN json_valid(props) THEN props END, '$.k') AS BIGINT) AS k FROM events) GROUP BY event_type",
     "user_sessions": """SELECT user_id, min(ts) AS began, max(ts) AS ended, count(*) AS events FROM (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS s FROM (SELECT *, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) < INTERVAL 30 MINUTE THEN 0 ELSE 1 END AS new FROM events)) GROUP BY user_id, s""",
-    "maintenance_gate": """WITH r AS (SELECT event_type AS key, ts, event_id, ts::DATE AS day, row_number() OVER (PARTITION BY event_type, ts::DATE ORDER BY ts, event_id) AS n FROM events),
-d AS (SELECT key, day, min((ts, event_id)) AS f, min(ts) AS first_ts, max(ts) AS last_ts FROM r GROUP BY ALL), q AS (SELECT *, lag(last_ts) OVER (PARTITION BY key ORDER BY day) AS b FROM d)
-SELECT key, ts, event_id, 'count' AS reason FROM r WHERE n % 5 = 0 UNION ALL SELECT r.key, r.ts, r.event_id, 'silence' FROM q JOIN r ON r.key = q.key AND r.day = q.day AND r.n = 1 WHERE b IS NULL OR first_ts - b >= INTERVAL 24 HOUR""",
     "arrival_delay": f"SELECT strftime(run_at, '%Y-%m') AS month, count(*) AS findings, count_if(floor(epoch(received_at)) - floor(epoch(run_at)) >= 86400)::BIGINT AS late FROM {_LINT} GROUP BY 1",
     "schema_drift_counts": f"SELECT kind, severity, strftime(detected_at, '%Y-%m') AS month, count(*) AS findings, count(DISTINCT target_path) AS pages, count(candidate_target) AS repairable FROM {_DRIFT} GROUP BY ALL",
     "drift_candidates": f"SELECT * FROM (SELECT *, levenshtein(given, proposed)::INT AS distance FROM (SELECT finding_id, {_KEY.format('relation_target')} AS given, {_KEY.format('candidate_target')} AS proposed FROM {_DRIFT}) WHERE given IS NOT NULL AND proposed IS NOT NULL) WHERE distance <= 5",

@@ -42,12 +42,11 @@ orphaned(row_id) AS (
   SELECT DISTINCT ref_id FROM edges WHERE row_id IS NULL AND ref_table = 'retrieval_nodes'
   UNION SELECT e.ref_id FROM orphaned o JOIN edges e ON e.row_id = o.row_id AND e.ref_table = 'retrieval_nodes'),
 hanging AS (SELECT DISTINCT ref_table, ref_id, target_key, t, 'direct' AS kind FROM edges WHERE row_id IS NULL
-  UNION ALL SELECT DISTINCT e.ref_table, e.ref_id, e.target_key, e.t, 'inherited' FROM edges e JOIN orphaned o ON e.row_id = o.row_id
-    WHERE NOT EXISTS (SELECT 1 FROM edges d WHERE d.row_id IS NULL AND d.ref_table = e.ref_table AND d.ref_id = e.ref_id))"""
+  UNION ALL SELECT DISTINCT e.ref_table, e.ref_id, e.target_key, e.t, 'inherited' FROM edges e JOIN orphaned o ON e.row_id = o.row_id)"""
 
 SQL = {
     "p3_found": f"WITH {_DIRECT} SELECT DISTINCT ref_table, ref_id, target_key FROM edges WHERE row_id IS NULL",
     "p3_cascade": f"{_ALL} SELECT DISTINCT ref_table, ref_id, target_key, kind FROM hanging",
     "p3_report": f"""{_ALL}, each AS (SELECT ref_table, ref_id, strftime(t, '%Y-%m') AS month, count_if(kind = 'direct') AS direct, count_if(kind = 'inherited') AS inherited FROM hanging GROUP BY ALL)
-SELECT ref_table, month, sum(direct)::BIGINT AS direct, sum(inherited)::BIGINT AS inherited, count(*) AS records FROM each GROUP BY ALL""",
+SELECT ref_table, month, sum(direct)::BIGINT AS direct, sum(inherited)::BIGINT AS inherited, count(*) AS records, count_if(direct > 0)::BIGINT AS direct_records FROM each GROUP BY ALL""",
 }

@@ -19,6 +19,9 @@ WORDS = ["retrieval", "index", "claim"]
 #: Results of a search, pages of its vector and graph streams, and chunks fetched for the former.
 RESULTS, VECTOR_PAGES, GRAPH_PAGES, FETCHED = 20, 10, 12, 30
 
+#: Characters of chunks that the context of a search holds.
+BUDGET = 600
+
 
 def pages(spark: SparkSession, folder: str) -> DataFrame:
     return table(spark, folder, "documents", spread=True).where("text is not null").select("doc_id", "text", "page_path")
@@ -123,10 +126,10 @@ def context_budget_pack(spark: SparkSession, folder: str) -> DataFrame:
     sized = pools.join(sizes.groupBy("page_id").agg(F.sum("n").alias("n")), "page_id")
     listed = sized.groupBy("query_chunk_id").agg(F.array_sort(F.collect_list(F.struct("place", "page_id", "n"))).alias("all"))
     fold = F.aggregate(
-        "all", F.struct(F.lit(600).cast("long").alias("left"), F.expr("cast(array() as array<string>)").alias("taken")),
+        "all", F.struct(F.lit(BUDGET).cast("long").alias("left"), F.expr("cast(array() as array<string>)").alias("taken")),
         lambda s, x: F.when(x["n"] <= s["left"], F.struct((s["left"] - x["n"]).alias("left"), F.array_append(s["taken"], x["page_id"]).alias("taken"))).otherwise(s),
     )
-    return listed.select("query_chunk_id", fold.alias("f")).select("query_chunk_id", F.size("f.taken").alias("pages"), (F.lit(600) - F.col("f.left")).alias("used"))
+    return listed.select("query_chunk_id", fold.alias("f")).select("query_chunk_id", F.size("f.taken").alias("pages"), (F.lit(BUDGET) - F.col("f.left")).alias("used"))
 
 
 QUERIES = {f.__name__: f for f in (bm25_stats, bm25_scores, bm25_topk, bm25_explain, lexical_score, rrf_search, vector_pages, knn_l2, knn_cosine, chunk_pool_pages, search_score_check, context_budget_pack)}
@@ -173,3 +176,6 @@ SELECT doc_id, round(coalesce(1e0 / (60 + coalesce(l, b)), 0) + coalesce(1e0 / (
 SELECT CASE WHEN q.v IS NULL OR l.v IS NULL THEN 'missing' WHEN score IS NULL THEN 'unscored' WHEN abs(1 / (1 + list_distance(q.v, l.v)) - score) < 1e-4 THEN 'right' ELSE 'stale' END AS state, count(*) AS hits, count(DISTINCT search_id) AS searches
 FROM (SELECT DISTINCT * FROM chunk_search_results) h LEFT JOIN l q ON q.chunk_id = h.query_chunk_id LEFT JOIN l ON l.chunk_id = h.chunk_id GROUP BY state""",
 }
+SQL["context_budget_pack"] = f"""WITH pool AS ({SQL['chunk_pool_pages']}), z AS (SELECT page_id, chunk_id, max(length(chunk_text)) AS n FROM chunk_vectors WHERE chunk_text IS NOT NULL GROUP BY ALL), y AS (SELECT page_id, sum(n)::BIGINT AS n FROM z GROUP BY page_id),
+l AS (SELECT query_chunk_id, list_reduce([0::BIGINT] || list(n ORDER BY place, page_id), lambda done, n: CASE WHEN done // 100000 + n <= {BUDGET} THEN done + n * 100000 + 1 ELSE done END) AS f FROM pool JOIN y USING (page_id) GROUP BY query_chunk_id)
+SELECT query_chunk_id, (f % 100000)::INT AS pages, f // 100000 AS used FROM l"""

@@ -37,14 +37,17 @@ def stream_trailing_groups(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def stream_gate(spark: SparkSession, folder: str) -> DataFrame:
-    """Openings of the maintenance gate of each kind of event; its state store is RocksDB, as stateful processors need."""
-    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
-    return _worked_off(jobs.gate(_events(spark, folder), "event_type", "ts"), "gate")
+    """Openings of the maintenance gate of each actor and kind of event."""
+    return _worked_off(jobs.gate(_events(spark, folder), ["user_id", "event_type"], "ts"), "gate").withColumnRenamed("at", "opened_at")
 
 
 QUERIES = {f.__name__: f for f in (stream_day_counts, stream_trailing_groups, stream_gate)}
 
 SQL = {
+    "stream_gate": """WITH RECURSIVE n AS (SELECT user_id, event_type, ts, row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts, event_id) AS i FROM events),
+r AS (SELECT user_id, event_type, ts AS opened_at, i AS waiting FROM n WHERE i = 5
+  UNION ALL SELECT user_id, event_type, opened_at, waiting FROM (SELECT n.user_id, n.event_type, n.ts AS opened_at, n.i AS waiting, row_number() OVER (PARTITION BY n.user_id, n.event_type ORDER BY n.i) AS k FROM r JOIN n ON n.user_id = r.user_id AND n.event_type = r.event_type AND n.i > r.waiting AND n.ts >= r.opened_at + INTERVAL 24 HOUR) WHERE k = 1)
+SELECT user_id, event_type, opened_at, waiting FROM r""",
     "stream_day_counts": """SELECT strftime(ts, '%Y-%m-%d') AS day, event_type, count(*) AS events FROM events WHERE ts::DATE + INTERVAL 1 DAY <= (SELECT max(ts) FROM events) - INTERVAL 2 DAY GROUP BY 1, 2""",
     "stream_trailing_groups": """SELECT strftime(b, '%Y-%m-%d') AS began, event_type, count(*) AS events, round(sum(value), 2) AS value FROM (SELECT *, unnest(list_transform(range(0, 7), lambda i: ts::DATE::TIMESTAMP - i * INTERVAL 1 DAY)) AS b FROM events)
 WHERE b + INTERVAL 7 DAY <= (SELECT max(ts) FROM events) - INTERVAL 1 DAY GROUP BY 1, 2""",

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from typing import Any, Callable, Iterator
+from typing import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
+from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 
 def event_stream(spark: SparkSession, folder: str, schema: str, per_trigger: int = 100) -> DataFrame:
@@ -25,41 +26,30 @@ def trailing_groups(events: DataFrame, at: str = "ts", kind: str = "event_type",
     return events.withWatermark(at, late).groupBy(F.window(at, "7 days", "1 day").alias("span"), kind).agg(F.count("*").alias("events"), F.sum("value").alias("value")).select(F.col("span.start").alias("began"), kind, "events", "value")
 
 
-class Gate(StatefulProcessor):
-    """Opens for a key after ``most_events`` events, or at the first event ``most_hours`` after it opened last.
+def gate(events: DataFrame, keys: list[str], at: str, most_events: int = 5, cooldown_hours: float = 24) -> DataFrame:
+    """``keys``, ``at``, ``waiting`` of every opening of the gate that asks for maintenance, for each key by itself.
 
-    State per key is two numbers, whatever the length of the log.
+    An event opens it if at least ``most_events`` have come since maintenance was done, it included, and ``cooldown_hours`` have
+    gone by since it opened last.  State per key is a count and a time, whatever the length of the log; a batch's events of
+    one key are put in order in its task, so keys should be as fine as the rule allows.
     """
+    rows = events.select(*keys, F.col(at).cast("timestamp").alias("at"))
+    cooldown = pd.Timedelta(hours=cooldown_hours)
 
-    def __init__(self, most_events: int, most_hours: float) -> None:
-        self.most_events, self.most_hours = most_events, most_hours
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.state = handle.getValueState("gate", "waiting int, opened double")
-
-    def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:
-        waiting, opened = self.state.get() if self.state.exists() else (0, None)
-        openings = []
-        for at in pd.concat(list(rows))["at"].sort_values():
-            now = at.timestamp()
+    def openings(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        waiting, last = state.get if state.exists else (0, None)
+        found = []
+        for now in pd.concat([f["at"] for f in frames]).sort_values():
             waiting += 1
-            opened = now if opened is None else opened
-            silent = now - opened >= self.most_hours * 3600
-            if waiting >= self.most_events or silent:
-                openings.append((key[0], at, "silence" if silent and waiting < self.most_events else "count", waiting))
-                waiting, opened = 0, now
-        self.state.update((waiting, opened))
-        if openings:
-            yield pd.DataFrame(openings, columns=["key", "at", "reason", "waiting"])
-
-    def close(self) -> None:
-        pass
-
-
-def gate(events: DataFrame, key: str, at: str, most_events: int = 5, most_hours: float = 24) -> DataFrame:
-    """``key``, ``at``, ``reason``, ``waiting`` of every opening of the gate (:class:`Gate`) of each key."""
-    rows = events.select(F.col(key).alias("key"), F.col(at).cast("timestamp").alias("at"))
-    return rows.groupBy("key").transformWithStateInPandas(Gate(most_events, most_hours), "key string, at timestamp, reason string, waiting int", "Append", "None")
+            if waiting >= most_events and (last is None or now - pd.Timestamp(last) >= cooldown):
+                last = now
+                found.append((*key, now, waiting))
+        state.update((waiting, last))
+        if found:
+            yield pd.DataFrame(found, columns=[*keys, "at", "waiting"]).astype({"waiting": "int64"})
+
+    kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.select(*keys).schema)
+    return rows.groupBy(*keys).applyInPandasWithState(openings, f"{kinds}, at timestamp, waiting long", "waiting long, last timestamp", "append", GroupStateTimeout.NoTimeout)
 
 
 def run_queue(tasks: DataFrame, work: Callable[[DataFrame, int], DataFrame], out: str, checkpoint: str) -> StreamingQuery:

@@ -14,13 +14,14 @@ def brute_related(nodes, edges, k):
         near[a].add(b)
         near[b].add(a)
     ways = {(a, b) for a, b, _ in edges}
+    degree = {m: sum(m in way for way in ways) for m in near}  # outgoing and incoming ones, so that a mutual link counts two
     out = set()
     for i, p, t, s in nodes:
         scored = []
         for j, q, u, r in nodes:
             if i != j and p == q:
                 links = ((i, j) in ways) + ((j, i) in ways)
-                common = sum(1 / math.log(max(len(near[m]), 2)) for m in near[i] & near[j])
+                common = sum(1 / math.log(max(degree[m], 2)) for m in near[i] & near[j])
                 scored.append((-round(3 * links + 4 * len(set(s) & set(r)) + 1.5 * common + G.AFFINITY.get(t, {}).get(u, 0.5), 6), j))
         out |= {(i, j, -score, n) for n, (score, j) in enumerate(sorted(scored)[:k], 1)}
     return out

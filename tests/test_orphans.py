@@ -47,7 +47,7 @@ def test_direct_and_inherited(spark):
     assert found(spark, nodes, lint, drift) == [
         ("lint_results", 1, "bee", "inherited", 2), ("lint_results", 3, "a", "direct", 0), ("lint_results", 4, "d", "direct", 0), ("lint_results", 6, "d", "direct", 0),
         ("retrieval_nodes", 1, "b", "inherited", 2), ("retrieval_nodes", 2, "c", "inherited", 1), ("retrieval_nodes", 3, "gone", "direct", 0),
-        ("retrieval_nodes", 5, "a", "direct", 0), ("retrieval_nodes", 6, "e", "inherited", 1), ("retrieval_nodes", 6, "f", "inherited", 2),
+        ("retrieval_nodes", 5, "a", "direct", 0), ("retrieval_nodes", 5, "f", "inherited", 2), ("retrieval_nodes", 6, "e", "inherited", 1), ("retrieval_nodes", 6, "f", "inherited", 2),
         ("schema_drift_findings", 1, "c", "inherited", 1), ("schema_drift_findings", 3, "a", "direct", 0),
     ]
 
@@ -56,7 +56,7 @@ def test_empty_tables_and_report(spark):
     assert found(spark) == []
     nodes, lint, drift = tables(spark, [(1, "a", "p", None, ["x", "y"], day(1), None, day(2), 0, "")])
     report = orphan_report(orphan_references(page_sources(nodes, lint, drift), nodes)).collect()
-    assert [tuple(r) for r in report] == [("retrieval_nodes", "2025-01", 2, 0, 1)]
+    assert [tuple(r) for r in report] == [("retrieval_nodes", "2025-01", 2, 0, 1, 1)]
 
 
 def test_hot_key_is_salted(spark, monkeypatch):

@@ -1,9 +1,6 @@
-import io
-import zipfile
-
 import pytest
 
-from lorespan.sources import jsonl, office, pages, vectors
+from lorespan.sources import jsonl, pages, vectors
 
 
 def test_pages(spark, tmp_path):
@@ -36,34 +33,3 @@ def test_vector_table(spark):
     assert vectors.deleted(old, old.where("page_id = 'a'")).count() == 1
     with pytest.raises(Exception, match="unfit chunk"):
         vectors.upserted(old, new, 3).collect()
-
-
-def test_office(spark, tmp_path):
-    w = 'xmlns:w="http://schemas.openxmlformats.org/wordprocessingml/2006/main"'
-    with zipfile.ZipFile(tmp_path / "a.docx", "w") as z:
-        z.writestr("word/document.xml", f'<w:document {w}><w:body><w:p><w:pPr><w:pStyle w:val="Heading2"/></w:pPr><w:r><w:t>Top</w:t></w:r></w:p><w:tbl><w:tr><w:tc><w:p><w:r><w:t>x|y</w:t></w:r></w:p></w:tc></w:tr></w:tbl></w:body></w:document>')
-    (tmp_path / "b.docx").write_bytes(b"no zip")
-    rows = {r.path.rsplit("/", 1)[1]: r for r in office.read_files(spark, str(tmp_path)).collect()}
-    assert rows["a.docx"].text == "## Top\n\n| x\\|y |\n| --- |" and rows["a.docx"].problem is None
-    assert rows["b.docx"].text is None and "BadZipFile" in rows["b.docx"].problem
-    s = 'xmlns="http://schemas.openxmlformats.org/spreadsheetml/2006/main"'
-    raw = io.BytesIO()
-    with zipfile.ZipFile(raw, "w") as z:
-        z.writestr("xl/workbook.xml", f'<workbook {s}><sheets><sheet name="One"/></sheets></workbook>')
-        z.writestr("xl/sharedStrings.xml", f"<sst {s}><si><t>h</t></si></sst>")
-        z.writestr("xl/worksheets/sheet1.xml", f'<worksheet {s}><sheetData><row><c t="s"><v>0</v></c><c><v>1.5</v></c></row><row><c><v>3</v></c></row></sheetData></worksheet>')
-    assert office.extracted("t.xlsx", raw.getvalue()) == ("## One\n\n| h | 1.50 |\n| --- | --- |\n| 3 |  |", None)
-
-
-def test_html_odt_and_images(spark, tmp_path):
-    html = "<html><head><title>t</title></head><body><nav>menu</nav><h1>Top</h1><p>One <b>bold</b> <a href='/x'>link</a>.</p><ul><li>a</li><li>b &amp; c</li></ul><script>no</script></body></html>"
-    assert office.html_markdown(html) == "# Top\n\nOne **bold** [link](/x).\n\n- a\n- b & c"
-    raw = io.BytesIO()
-    with zipfile.ZipFile(raw, "w") as z:
-        z.writestr("content.xml", '<d xmlns:t="urn:t"><t:h t:outline-level="2">Head</t:h><t:p>Text</t:p></d>')
-    assert office.extracted("a.odt", raw.getvalue()) == ("## Head\n\nText", None)
-    for name in ("a", "b"):
-        with zipfile.ZipFile(tmp_path / f"{name}.docx", "w") as z:
-            z.writestr("word/media/i.png", b"x" * 3000)
-            z.writestr("word/media/icon.png", b"x")
-    assert [(r.path[-6:], r.name) for r in office.read_images(spark, str(tmp_path)).collect()] == [("a.docx", "word/media/i.png")]

@@ -33,20 +33,7 @@ def test_queue_writes_each_batch_once(spark, tmp_path):
     assert [r.done for r in spark.read.parquet(str(tmp_path / "out")).collect()] == [4.0]
 
 
-def test_gate_logic():
-    import pandas as pd
-
-    class State:
-        value = None
-        exists = lambda self: self.value is not None
-        get = lambda self: self.value
-
-        def update(self, value):
-            self.value = value
-
-    g = jobs.Gate(3, 24)
-    g.state = State()
-    first = list(g.handleInputRows(("k",), iter([pd.DataFrame({"at": pd.to_datetime(["2025-01-01 00:00", "2025-01-01 01:00"], utc=True)})]), None))
-    assert first == []
-    second = pd.concat(list(g.handleInputRows(("k",), iter([pd.DataFrame({"at": pd.to_datetime(["2025-01-01 02:00", "2025-01-02 03:00"], utc=True)})]), None)))
-    assert second["reason"].tolist() == ["count", "silence"] and second["waiting"].tolist() == [3, 1]
+def test_gate_counts_and_cools_down(spark, tmp_path):
+    rows = [(D(2025, 1, 1, h), "a", 1.0) for h in range(5)] + [(D(2025, 1, 2, 1), "a", 1.0), (D(2025, 1, 2, 2), "a", 1.0), (D(2025, 1, 2, 3), "b", 1.0)]
+    got = run(spark, jobs.gate(events(spark, str(tmp_path / "in"), rows), ["event_type"], "ts", 3, 24), "gate")
+    assert sorted((r.event_type, r.at, r.waiting) for r in got) == [("a", D(2025, 1, 1, 2), 3), ("a", D(2025, 1, 2, 2), 7)]
