@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 #: Modules with ``QUERIES`` (name -> function of session and folder) and ``SQL`` (name -> text for DuckDB).
-MODULES = ("lorespan.plans.search", "lorespan.plans.graph", "lorespan.plans.claims", "lorespan.plans.evidence", "lorespan.plans.text", "lorespan.plans.blocks", "lorespan.plans.logs", "lorespan.plans.streams", "lorespan.plans.orphans")
+MODULES = ("lorespan.plans.search", "lorespan.plans.graph", "lorespan.plans.claims", "lorespan.plans.evidence", "lorespan.plans.pages", "lorespan.plans.text", "lorespan.plans.blocks", "lorespan.plans.logs", "lorespan.plans.streams", "lorespan.plans.orphans")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
