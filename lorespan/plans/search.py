@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -28,8 +28,8 @@ def pages(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def _fields() -> dict:
-    text, path = F.col("text"), F.col("page_path")
-    front = T.front_matter(text)
+    """The fields of a page with its front matter in the column ``front``."""
+    text, path, front = F.col("text"), F.col("page_path"), F.col("front")
     return {
         "filename": T.file_stem(path), "title": T.page_title(text, path), "body": T.page_body(text),
         "aliases": F.array_join(T.front_entries(front, "alias", "aliases"), " "), "keywords": F.array_join(T.front_entries(front, "keywords", "tags"), " "),
@@ -39,14 +39,17 @@ def _fields() -> dict:
 FIELDS = list(S.FIELD_WEIGHTS)
 
 
-def _counted(spark: SparkSession, folder: str) -> DataFrame:
-    """One pass over the texts: per page its lexical score, its name, and the counts that BM25 needs."""
-    rows = pages(spark, folder)
-    return written(rows.select("doc_id", T.file_stem(F.col("page_path")).alias("page"), S.lexical(QUERY, WORDS).alias("lexical"), *S.bm25_counts(_fields(), WORDS)), "counted")
+def _with_front(spark: SparkSession, folder: str) -> DataFrame:
+    return pages(spark, folder).withColumn("front", T.front_matter(F.col("text")))
+
+
+def _counted(spark: SparkSession, folder: str, *also: Column) -> DataFrame:
+    """One pass over the texts: per page the counts that BM25 needs, and other columns."""
+    return written(_with_front(spark, folder).select("doc_id", *also, *S.bm25_counts(_fields(), WORDS)), "counted")
 
 
 def bm25_stats(spark: SparkSession, folder: str) -> DataFrame:
-    return S.bm25_stats(S.field_rows(pages(spark, folder), _fields()))
+    return S.bm25_stats(S.field_rows(_with_front(spark, folder), _fields()))
 
 
 def bm25_scores(spark: SparkSession, folder: str) -> DataFrame:
@@ -77,12 +80,12 @@ def vector_pages(spark: SparkSession, folder: str) -> DataFrame:
 
 def rrf_search(spark: SparkSession, folder: str) -> DataFrame:
     """The best pages of four streams: words (the lexical score, or BM25 where that finds nothing), vectors, and typed links."""
-    counted = _counted(spark, folder)
+    counted = _counted(spark, folder, T.file_stem(F.col("page_path")).alias("page"), S.lexical(QUERY, WORDS).alias("lexical"))
     scores = S.bm25(counted, FIELDS, WORDS).select("doc_id", F.round("score", 6).alias("score"))
     streams = [S.ranked(counted.where("lexical > 0").select("doc_id", F.col("lexical").alias("score")), "lexical"), S.ranked(scores, "bm25")]
     for name, found in (("vector", vector_pages(spark, folder)), ("graph", ranked_pages(spark, folder, QUERY, WORDS).select(F.col("id").alias("page"), "score"))):
         place = F.row_number().over(W.orderBy(F.desc("score"), "page"))  # a dozen rows
-        few = written(found.select("page", F.lit(name).alias("stream"), place.cast("long").alias("place")), name)
+        few = found.select("page", F.lit(name).alias("stream"), place.cast("long").alias("place"))
         streams.append(counted.select("doc_id", "page").join(F.broadcast(few), "page").select("doc_id", "stream", "place"))
     fused = S.fuse(streams, instead={"bm25": "lexical"})
     places = [F.col("places")[name].cast("int").alias(f"{name}_place") for name in ("lexical", "bm25", "vector", "graph")]
