@@ -7,7 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from lorespan.functions.links import reference_key
-from lorespan.session import written
+from lorespan.session import discard, written
 
 #: Weights of the four signals of relevance, and how well two page types go together (else 0.5).
 DIRECT, OVERLAP, COMMON = 3.0, 4.0, 1.5
@@ -217,24 +217,26 @@ def communities(nodes: DataFrame, pairs: DataFrame) -> DataFrame:
     ways = pairs.select(F.col("a").alias("id"), F.col("b").alias("other"), "weight").unionByName(pairs.select(F.col("b").alias("id"), F.col("a").alias("other"), "weight"))
     ways = written(ways.withColumn("weight", F.round(F.col("weight") * 1e6).cast("long")), "ways")  # whole numbers, so that sums are the same in any order
     labels = ways.select("id").distinct().withColumn("community", F.col("id"))
-    before, alone, turn = None, False, 0
+    state, before, alone, turn = None, None, False, 0
     while True:
-        labels = written(labels, "labels")
         votes = ways.join(labels.withColumnRenamed("id", "other"), "other").groupBy("id", "community").agg(F.sum("weight").alias("votes"))
         best = votes.groupBy("id").agg(F.min(F.struct((-F.col("votes")).alias("less"), "community"))["community"].alias("next"))
-        wants = written(labels.join(best, "id").where("next <> community").select("id", "next", F.xxhash64("id", F.lit(turn)).alias("order")), "wants")
+        last, state = state, written(labels.join(best, "id").withColumn("order", F.xxhash64("id", F.lit(turn))), "labels")
+        if last is not None:
+            discard(last)
+        wants = state.where("next <> community")
         left = wants.count()
         if not left:
-            return nodes.select("id").join(labels, "id", "left").select("id", F.coalesce("community", "id").alias("community"))
+            return nodes.select("id").join(state, "id", "left").select("id", F.coalesce("community", "id").alias("community"))
         alone = alone or (turn % 2 == 0 and before is not None and left >= before)
         before = left if turn % 2 == 0 else before
         if alone:
             mine, theirs = wants.select("id", F.struct("order", "id").alias("mine")), wants.select(F.col("id").alias("other"), F.struct("order", F.col("id")).alias("theirs"))
-            late = ways.join(mine, "id").join(theirs, "other").where("mine > theirs").select("id").distinct()
-            moves = wants.join(late, "id", "left_anti")
+            late = ways.join(mine, "id").join(theirs, "other").where("mine > theirs").select("id").distinct().withColumn("late", F.lit(True))
+            labels = state.join(late, "id", "left").select("id", F.when(F.col("late"), F.col("community")).otherwise(F.col("next")).alias("community"))
         else:
-            moves = wants.where(F.pmod(F.xxhash64("id", F.lit(turn // 2)), F.lit(2)) == turn % 2)
-        labels = labels.join(moves.select("id", "next"), "id", "left").select("id", F.coalesce("next", "community").alias("community"))
+            moves = F.pmod(F.xxhash64("id", F.lit(turn // 2)), F.lit(2)) == turn % 2
+            labels = state.select("id", F.when(moves, F.col("next")).otherwise(F.col("community")).alias("community"))
         turn += 1
 
 
