@@ -86,17 +86,15 @@ def numbered(df: DataFrame, *order: Column | str, name: str = "number") -> tuple
     ranges = int(spark.conf.get("spark.sql.shuffle.partitions"))
     split = df.repartitionByRange(ranges, *order).withColumn("_range", F.spark_partition_id())
     rows = written(split, "ranges")  # a range must not change between its two uses
-    sizes = rows.groupBy("_range").agg(F.count("*").alias("_n"))
-    sizes = sorted((r["_range"], r["_n"]) for r in sizes.collect())  # one row for each range
-    before, total = [], 0
+    sizes = sorted((r["_range"], r["n"]) for r in rows.groupBy("_range").agg(F.count("*").alias("n")).collect())  # one row for each range
+    total, before = 0, []
     for number, n in sizes:
         before.append((number, total))
         total += n
-    if not total:
-        return rows.drop("_range").withColumn(name, F.lit(0).cast("long")), 0
-    moved = F.element_at(F.create_map(*(F.lit(x) for pair in before for x in pair)), F.col("_range"))
+    moved = spark.createDataFrame(before, "_range int, _before long")
     own = F.row_number().over(W.partitionBy("_range").orderBy(*order))
-    return rows.withColumn(name, (moved + own).cast("long")).drop("_range"), total
+    placed = rows.withColumn("_own", own).join(F.broadcast(moved), "_range")
+    return placed.withColumn(name, F.col("_before") + F.col("_own")).drop("_range", "_before", "_own"), total
 
 
 def tokenizer_path(file: str = "byte_bpe_50k.tiktoken") -> str:
