@@ -15,6 +15,9 @@ REVIEW_KINDS = ("contradiction", "duplicate", "missing-page", "suggestion")
 
 BLANK = " \t\r\n"
 
+#: Lengths of a key's head: the first of these that the key has.
+HEADS = (8, 4, 3, 2, 1)
+
 
 def claim_anchors(docs: DataFrame, id_col: str = "doc_id") -> DataFrame:
     """``id_col``, ``line`` (from 1), ``claim_id``, ``claim``: each anchor of a claim, and the first line of text behind it, without a list's mark.
@@ -61,21 +64,37 @@ def trimmed_index(text: Column, words: list[str], budget: int) -> Column:
     return F.when(F.length(text) <= budget, text).otherwise(F.regexp_replace(kept, r"\n\z", ""))
 
 
-def parts(key: Column) -> Column:
-    """All substrings of a key, each once."""
-    n = F.length(key)
-    starts = F.sequence(F.lit(1), n)
-    return F.array_distinct(F.flatten(F.transform(starts, lambda i: F.transform(F.sequence(F.lit(1), n - i + 1), lambda k: F.substring(key, i, k)))))
+def _head(key: Column) -> Column:
+    return F.coalesce(*(F.when(F.length(key) >= n, F.substring(key, 1, n)) for n in HEADS))
+
+
+def likely_parts(texts: DataFrame, keys: DataFrame) -> DataFrame:
+    """The columns of ``texts`` but ``text``, and ``part``: all parts of the text that are keys of its project, and others that begin like a key and are as long.
+
+    ``texts`` has ``project_id``, ``text`` and what else is wanted; ``keys`` has ``project_id``, ``key``.  Spark takes what is exploded
+    for as large as the texts are and would broadcast it, so the hint names the side that isn't: it is built by partitions.
+    """
+    own = [c for c in texts.columns if c != "text"]
+    sizes = keys.agg(F.collect_set(F.length(_head(F.col("key")))).alias("sizes"), F.max(F.length("key")).alias("longest"))  # one row
+    heads = keys.groupBy("project_id", _head(F.col("key")).alias("head")).agg(F.collect_set(F.length("key")).alias("lengths"))
+    n = F.length("text")
+    rest = lambda i, size: F.substring("text", i, F.when(size == HEADS[0], F.col("longest")).otherwise(F.lit(HEADS[0] - 1))).alias("rest")
+    places = lambda size: F.transform(F.sequence(F.lit(1), n - size + 1), lambda i: F.struct(F.substring("text", i, size).alias("head"), rest(i, size)))
+    cut = texts.crossJoin(F.broadcast(sizes)).select(*own, F.explode(F.flatten(F.transform(F.filter("sizes", lambda size: size <= n), places))).alias("at")).select(*own, "at.*")
+    found = cut.join(heads.hint("shuffle_hash"), ["project_id", "head"])
+    return found.select(*own, F.explode(F.transform(F.filter("lengths", lambda x: x <= F.length("rest")), lambda x: F.substring("rest", F.lit(1), x))).alias("part"))
 
 
 def name_candidates(names: DataFrame, keys: DataFrame, shortest: int = 1) -> DataFrame:
     """``project_id``, ``name``, ``candidate``: for each unresolved name the first page (by id) of which a key holds the name, or is held by it.
 
     ``names`` has ``project_id``, ``name``, each once; ``keys`` has ``project_id``, ``key``, ``id``.  Instead of comparing all names with
-    all keys, the parts of each are joined with the other as a whole; keys are short, so their parts are few.
+    all keys, the parts of each that begin like one of the other are joined with the other as a whole.
     """
     first = keys.where(F.length("key") >= shortest).groupBy("project_id", "key").agg(F.min("id").alias("id"))
-    held = first.select("project_id", F.explode(parts(F.col("key"))).alias("name"), "id").groupBy("project_id", "name").agg(F.min("id").alias("id"))  # pre-aggregated before the join
-    wide = names.join(held, ["project_id", "name"]).select("project_id", "name", "id")
-    narrow = names.select("project_id", "name", F.explode(parts(F.col("name"))).alias("key")).join(first, ["project_id", "key"]).select("project_id", "name", "id")
+    held = likely_parts(first.select("project_id", F.col("key").alias("text"), "id"), names.select("project_id", F.col("name").alias("key")))
+    held = held.groupBy("project_id", F.col("part").alias("name")).agg(F.min("id").alias("id"))  # pre-aggregated before the join
+    wide = held.join(names.select("project_id", "name").hint("shuffle_hash"), ["project_id", "name"]).select("project_id", "name", "id")
+    narrow = likely_parts(names.select("project_id", F.col("name").alias("text"), "name"), first).withColumnRenamed("part", "key")
+    narrow = narrow.join(first.hint("shuffle_hash"), ["project_id", "key"]).select("project_id", "name", "id")
     return wide.unionByName(narrow).groupBy("project_id", "name").agg(F.min("id").alias("candidate"))
